@@ -11,7 +11,7 @@ Documents are never gathered: sizes are summed per source and hash bucket, offse
 the order inside a bucket is a window over (key, size) rows alone. Only one row per source reaches the driver.
 
 Cases: a null or wordless text has size 0 and takes 0; null sources are one source, the last in order; repeated rows
-are documents of their own; an empty table gives an empty table; other columns are carried along only where asked.
+are documents of their own; an empty table gives an empty table; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL = 1.5
 MOST = 2.0
 SEED = 20240229
+#: Documents whose numbers of copies are sent to every executor at most; more go through a shuffle.
+BROADCAST_DOCS = 500_000
 
 
 def targets(sizes: Sequence[float], weights: Sequence[float], total: float, most: float = MOST) -> list[float]:
@@ -111,14 +113,13 @@ def _taken_before(place: F.Column, block: int) -> F.Column:
     return (run["before"] + local * run["base"] + more(local)) * block + rest * (run["base"] + more(local + 1) - more(local))
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, seed: int = SEED, block: int = BLOCK_WORDS, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row, and the columns of keep, prefixed with `kept_`."""
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, seed: int = SEED, block: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row."""
     spark = docs.sparkSession
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *(F.col(x).alias(f"kept_{x}") for x in keep))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
     spread = sized.withColumn("place", order).withColumn("bucket", F.pmod(F.col("place"), F.lit(BUCKETS)).cast("int"))
-    if not keep:
-        spread = written(spread, "sizes")  # the texts are read once
+    spread = written(spread, "sizes")  # the texts are read once
     sums = spread.groupBy("source", "bucket").agg(F.sum("size").alias("words")).select("source", "bucket", "words")
     per_source = {x["source"]: x["size"] for x in sums.groupBy("source").agg(F.sum("words").alias("size")).collect()}  # a row per source
     plan = quotas(per_source, weights, total, block, seed=seed)
@@ -128,10 +129,24 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TO
     offsets = sums.withColumn("offset", F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select(
         F.col("source").alias("of"), F.col("bucket").alias("in"), F.coalesce("offset", F.lit(0)).alias("offset")
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("place", F.col("doc_id").asc_nulls_first(), "size", *(f"kept_{x}" for x in keep if docs.schema[x].dataType.typeName() != "map"))
+    inside = Window.partitionBy("source", "bucket").orderBy("place", F.col("doc_id").asc_nulls_first(), "size")
     run = spread.withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     run = run.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in"))).drop("of", "in")
     run = run.join(F.broadcast(table) if len(rows) <= 10_000 else table, F.col("source").eqNullSafe(F.col("of")))
     run = run.withColumn("until", F.col("offset") + F.col("end")).withColumn("from", F.col("until") - F.col("size"))
     taken = F.when(F.col("size") > 0, _taken_before("until", block) - _taken_before("`from`", block)).otherwise(0).cast("long")
-    return run.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(f"kept_{x}" for x in keep))
+    return run.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it, in whole copies (rounded; none drops it).
+
+    Rows with equal doc_id and size are taken equally often.
+    """
+    every = mixed(docs, **options).where("taken > 0").groupBy("doc_id", "size").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("copies")).where("copies > 0")
+    every = written(every.select(F.struct(F.col("doc_id").alias("id"), "size").alias("of"), F.array_repeat(F.lit(0), F.col("copies")).alias("copies")), "copies")
+    few = every.count() <= BROADCAST_DOCS
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    size = n_words(F.col("row").getField("text"))
+    joined = whole.join(F.broadcast(every) if few else every, F.col("row").getField("doc_id").eqNullSafe(F.col("of.id")) & (size == F.col("of.size")))
+    return joined.select("row", F.explode("copies")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

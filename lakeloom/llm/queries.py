@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lz_fingerprint, media, mixing, token_counts, toxicity
+from . import byte_bpe, html_text, lz_fingerprint, media, mixing, near_dedup, secrets, surrogates, token_counts, toxicity
 from .common import documents
 
 TIKTOKEN_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -32,26 +32,48 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.with_media(documents(spark, sf_dir)))
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymised(documents(spark, sf_dir), count="n_replaced").select("doc_id", "text", "n_replaced")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+def toxicity_model(docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Trained on labelled documents outside the held-out third."""
+    labels = docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.fit(*toxicity.training_sample(docs, labels, toxicity.remainder(F.col("key")) != 1))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(*toxicity.training_sample(docs, labels, toxicity.remainder(F.col("key")) != 1))
+    model = toxicity_model(docs, sf_dir)
     return toxicity.scored(docs, model).select(
         "doc_id", F.coalesce(toxicity.remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secrets.digest(secrets.scanned(docs, secrets.train(secrets.labelled_samples(docs))))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(documents(spark, sf_dir), *_tokenizer(COUNTED_FILE))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_byte_bpe, op3_media, op6_lz_fingerprint, op7_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op2_byte_bpe, op3_media, op4_surrogates, op5_html_text, op6_lz_fingerprint, op7_toxicity, op8_secrets, op9_near_dedup, op10_token_counts)}
 
 
 #: Results that DuckDB SQL can express.
