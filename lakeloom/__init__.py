@@ -1,0 +1 @@
+"""An analytical query library on PySpark: relational operators, dialect functions, sources and sinks as DataFrame plans."""
