@@ -16,6 +16,10 @@ def tokens(text: str):
     return F.filter(words, lambda w: (w != "") & ~w.isin(STOP_WORDS))
 
 
+def _equals(term: str):
+    return lambda w: w == term
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, size): a document's terms with their counts and its length; build once and write it to search often."""
     listed = docs.select(F.col(key).alias("key"), tokens(text).alias("words")).withColumn("size", F.size("words"))
@@ -33,7 +37,7 @@ def search(docs: DataFrame, key: str, text: str, query: str, limit: int | None =
     if not terms:
         return docs.select(F.col(key).alias("key"), F.lit(0.0).alias("score")).limit(0)
     counted = docs.select(F.col(key).alias("key"), tokens(text).alias("words")).select(
-        "key", F.size("words").alias("size"), *(F.size(F.filter("words", lambda w, t=t: w == t)).alias(f"tf{i}") for i, t in enumerate(terms))
+        "key", F.size("words").alias("size"), *(F.size(F.filter("words", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms))
     )
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     joined = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row

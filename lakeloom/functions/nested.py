@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,10 +112,6 @@ def json_quote(x: Column) -> Column:
 
 def json_contains(x: Column, part: Column) -> Column:
     """Whether a JSON text holds another: equal scalars, arrays and objects as subsets."""
-    import json
-
-    import pandas as pd
-
     def holds(a, b) -> bool:
         if isinstance(b, dict):
             return isinstance(a, dict) and all(k in a and holds(a[k], v) for k, v in b.items())

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def trunc(x: Column) -> Column:
@@ -49,12 +50,12 @@ def lcm(a: Column, b: Column) -> Column:
     return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs((a.cast("long") / g).cast("long") * b.cast("long")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gamma(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else math.gamma(v))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else math.lgamma(v))
 

@@ -59,7 +59,7 @@ SQL_FUNCTIONS = {
     "strip": ("s STRING", "STRING", "trim(s)"),
     "prefix": ("s STRING, p STRING", "BOOLEAN", "startswith(s, p)"),
     "suffix": ("s STRING, p STRING", "BOOLEAN", "endswith(s, p)"),
-    "epoch_ms": ("t TIMESTAMP_NTZ", "BIGINT", "floor(unix_micros(cast(t AS TIMESTAMP)) / 1000)"),
+    "epoch_ms": ("t TIMESTAMP_NTZ", "BIGINT", "cast(round(unix_micros(cast(t AS TIMESTAMP)) / 1000) AS BIGINT)"),
     "epoch_us": ("t TIMESTAMP_NTZ", "BIGINT", "unix_micros(cast(t AS TIMESTAMP))"),
     "isodow": ("t TIMESTAMP_NTZ", "INT", "weekday(t) + 1"),
     "yearweek": ("t TIMESTAMP_NTZ", "INT", "extract(YEAROFWEEK FROM t) * 100 + weekofyear(t)"),

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def concat(*parts: Column) -> Column:
@@ -142,11 +143,11 @@ def _jaro_winkler(a: str, b: str) -> float:
     return base + same * 0.1 * (1 - base) if base >= 0.7 else base
 
 
-damerau_levenshtein = F.pandas_udf(_pairwise(_osa), "long")
-jaro_similarity = F.pandas_udf(_pairwise(_jaro), "double")
-jaro_winkler_similarity = F.pandas_udf(_pairwise(_jaro_winkler), "double")
+damerau_levenshtein = F.pandas_udf(_pairwise(_osa), T.LongType())
+jaro_similarity = F.pandas_udf(_pairwise(_jaro), T.DoubleType())
+jaro_winkler_similarity = F.pandas_udf(_pairwise(_jaro_winkler), T.DoubleType())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))

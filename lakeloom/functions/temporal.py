@@ -1,4 +1,4 @@
-"""Date and time functions with the dialect's semantics: weeks begin on Monday, differences count boundaries."""
+"""Date and time functions with the dialect's semantics."""
 
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ def from_micros(us: Column) -> Column:
 
 
 def epoch_ms(ts: Column) -> Column:
-    return F.floor(micros(ts) / 1000).cast("long")
+    return F.round(micros(ts) / 1000).cast("long")
 
 
 def epoch(ts: Column) -> Column:
@@ -66,7 +66,7 @@ def date_trunc(unit: str, ts: Column) -> Column:
 
 
 def date_diff(unit: str, start: Column, end: Column) -> Column:
-    """How many boundaries of the unit lie between."""
+    """How many boundaries of the unit lie between; for weeks, how many whole ones."""
     unit = unit.lower().rstrip("s")
     months = lambda t: F.year(t) * 12 + F.month(t) - 1
     if unit in ("year", "decade", "century"):
@@ -75,8 +75,10 @@ def date_diff(unit: str, start: Column, end: Column) -> Column:
     if unit in ("month", "quarter"):
         size = {"month": 1, "quarter": 3}[unit]
         return (F.floor(months(end) / size) - F.floor(months(start) / size)).cast("long")
-    shift = ORIGIN if unit == "week" else 0
-    place = lambda t: F.floor((micros(t) - shift) / MICROS[unit])
+    if unit == "week":  # whole weeks between the dates
+        days = F.date_diff(end, start)
+        return (F.signum(days) * F.floor(F.abs(days) / 7)).cast("long")
+    place = lambda t: F.floor(micros(t) / MICROS[unit])
     return (place(end) - place(start)).cast("long")
 
 
