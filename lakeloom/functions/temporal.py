@@ -89,9 +89,12 @@ def date_sub(unit: str, start: Column, end: Column) -> Column:
         gap = micros(end) - micros(start)
         return (F.signum(gap) * F.floor(F.abs(gap) / MICROS[unit])).cast("long")
     size = {"month": 1, "quarter": 3, "year": 12}[unit]
-    whole = F.floor(F.abs(F.months_between(end.cast("timestamp"), start.cast("timestamp"), roundOff=False)))
-    exact = F.when(end >= start, whole).otherwise(-whole)
-    return (F.signum(exact) * F.floor(F.abs(exact) / size)).cast("long")
+    low, high = F.least(start, end), F.greatest(start, end)
+    day = F.least(F.dayofmonth(low), F.dayofmonth(F.last_day(high)))  # a day past the later month's end falls on its end
+    time = lambda t: F.pmod(micros(t), F.lit(MICROS["day"]))
+    short = (F.dayofmonth(high) < day) | ((F.dayofmonth(high) == day) & (time(high) < time(low)))
+    whole = F.year(high) * 12 + F.month(high) - F.year(low) * 12 - F.month(low) - F.when(short, 1).otherwise(0)
+    return (F.when(end < start, -1).otherwise(1) * F.floor(whole / size)).cast("long")
 
 
 def date_add(ts: Column, months: Column | int = 0, days: Column | int = 0, microseconds: Column | int = 0) -> Column:
