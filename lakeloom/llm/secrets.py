@@ -25,9 +25,11 @@ FORMS = (
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+#: Characters that join parts of a string; transitions to and from them tell nothing.
+JOINTS = "_-="
 RUN = r"[A-Za-z0-9+/_=-]"
 LEAST_RUN = 16
-LEAST_MEAN, LEAST_SUM = 0.7, 12.0
+LEAST_MEAN, LEAST_SUM = 1.8, 25.0
 SAMPLE_DOCS = 1000
 SAMPLE_STRINGS = 3000
 _SIDE = len(ALPHABET) + 1
@@ -77,7 +79,8 @@ def train(samples: DataFrame) -> list[float]:
     for row in range(_SIDE):
         ordinary, random = (c[row * _SIDE : (row + 1) * _SIDE] for c in counts)
         table += [log(r / sum(random)) - log(o / sum(ordinary)) for r, o in zip(random, ordinary, strict=True)]
-    return table
+    joints = {0, *(ALPHABET.index(c) + 1 for c in JOINTS)}
+    return [0.0 if {k // _SIDE, k % _SIDE} & joints else x for k, x in enumerate(table)]
 
 
 def _spans(text: Column, kind: str, order: int, pattern: str, group: int = 0, least: int = 0) -> Column:
