@@ -46,25 +46,27 @@ DROPPED_TAGS = RAW | frozenset(["head", "nav", "footer", "aside", "form", "butto
 DROPPED_ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form", "note"])
 #: Parts of class and id names that tell what an element is.
 DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification\w*|alert|sidebar\w*|side|rail|menu\w*|nav\w*|breadcrumbs?|topbar|toolbar|header|masthead|footer|foot|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification\w*|alert|sidebar\w*|side|rail|menu\w*|nav\w*|breadcrumbs?|topbar|toolbar|masthead|footer|foot|"
     r"comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|widget\w*|pagination|pager|search\w*|tags|copyright|legal|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Names of a site's header; that of an article belongs to it.
+HEADER_NAMES = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global|app|web)[_-]?)?header(?:[_-]?(?:bar|wrap|wrapper|container|inner))?(?:$|\s)", re.I)
 MAIN = ("article", "main")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|$)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """An element's name in paths, whether it is dropped by what it says of itself, and whether it says it is the article."""
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """An element's name in paths, whether it is dropped by what it says of itself, and whether it says it is the article or a header."""
     found = {k.lower(): entities.unescape(a or b or c).strip().lower() for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     names = " ".join(filter(None, (found.get("class"), found.get("id"))))
     role = found.get("role", "")
     label = tag + "".join(f"{mark}{_SPACE.sub('.', found[k])}" for k, mark in (("role", "@"), ("class", "."), ("id", "#")) if found.get(k))
     is_main = tag in MAIN or role in MAIN or found.get("itemprop") == "articlebody"
     dropped = tag in DROPPED_TAGS or role in DROPPED_ROLES or "hidden" in found or bool(names and tag not in ("html", "body") and DROPPED_NAMES.search(names))
-    return label.replace("/", "|"), dropped, is_main and not dropped
+    return label.replace("/", "|"), dropped, is_main and not dropped, tag == "header" or bool(names and HEADER_NAMES.search(names))
 
 
 def walk(html: str | None) -> tuple[dict[str, list], list[tuple[str, int, str]]]:
@@ -135,10 +137,10 @@ def walk(html: str | None) -> tuple[dict[str, list], list[tuple[str, int, str]]]
                 del stack[inner:]
         if tag in VOID or attributes.endswith("/"):
             continue
-        label, dropped, main = _label(tag, attributes)
+        label, dropped, main, header = _label(tag, attributes)
         _, path, above, inside = stack[-1]
         path = f"{path}/{label}"
-        dropped = above or dropped or tag == "header" and not (inside or main)
+        dropped = above or dropped or header and not (inside or main)
         entry = paths.get(path)
         if entry is None:
             paths[path] = [1, 0, 0]

@@ -243,6 +243,7 @@ def page(article, extra="", k=0):
 def test_page_text(spark):
     rows = [(k, f"https://a.example/{k}", page(f"<article><h1>Head {k}</h1><p>One &amp; <b>two</b>\n three {k}<p>four<br>five</article>", '<div id="comments"><p>Nice!</p></div>', k)) for k in range(6)]
     rows += [(10 + k, f"http://b.example/{k}", page(f'<div class="content"><h2>T{k}</h2><div>Text {k}</div></div><div class="x"><div><p>Same on all</p></div></div>', "", k)) for k in range(6)]
+    rows += [(30, "https://d.example/1", '<body><div class="site-header">Top</div><div class="post"><div class="post-header"><h1>Kept</h1></div><p>Body<div class="post-footer">no</div><div id="sidebar">no</div></div>')]
     rows += [(20, None, "<p>loose &lt;text"), (21, "https://a.example/x", None), (22, "https://c.example", ""), (23, "x", "<article><p>cut off <b>he"), (24, "https://a.example/0", rows[0][2])]
     pages = spark.createDataFrame([(*r, "w") for r in rows], "page_id long, url string, html string, host string")
     out = html_text.extracted(pages)
@@ -250,6 +251,7 @@ def test_page_text(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"] and len(got) == len(rows)
     assert got[2].text == "Head 2\nOne & two three 2\nfour five" and got[24].text == got[0].text
     assert got[13].text == "T3\nText 3" and got[20].text == "loose <text" and got[23].text == "cut off he"
+    assert got[30].text == "Kept\nBody"
     assert got[21].text == got[22].text == "" and all(r.n_chars == len(r.text) for r in got.values())
 
 
