@@ -30,8 +30,8 @@ from .pretokens import splitter
 
 #: Characters of one block of documents, about.
 BLOCK_CHARS = 24_000_000
-#: Documents of one block at most.
-BLOCK_DOCS = 50_000
+#: Documents of one block at most, and the largest frequency of one entry; both fit in 16 bits.
+BLOCK_DOCS, MOST_TIMES = 50_000, 65_535
 #: Rows of pre-tokens whose frequencies a task holds before it sums them up.
 HELD_ROWS = 300_000
 
@@ -59,7 +59,7 @@ def count_pieces(path: str, pretokens: list[str]) -> list[int]:
 
 def _inverted(path: str, pattern: str):
     """Documents to rows (block, keys, sizes, pretoken, docs, times): a head with the keys and sizes of a block's
-    documents, then the block's pre-tokens with packed 32-bit lists of documents and frequencies."""
+    documents, then the block's pre-tokens with packed 16-bit lists of documents and frequencies."""
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -87,8 +87,14 @@ def _inverted(path: str, pattern: str):
                 return
             token, doc = np.concatenate(found), np.repeat(np.arange(n, dtype=np.int64), [len(x) for x in found])
             both, times = np.unique(token * n + doc, return_counts=True)
-            token, doc, times = both // n, (both % n).astype("<i4").tobytes(), times.astype("<i4").tobytes()
-            ends = np.append(np.flatnonzero(np.diff(token)) + 1, len(token)) * 4
+            if times.max() > MOST_TIMES:  # more often than fits is listed more than once
+                pieces_of = -(-times // MOST_TIMES)
+                both, rest = np.repeat(both, pieces_of), times - (pieces_of - 1) * MOST_TIMES
+                last = np.cumsum(pieces_of) - 1
+                times = np.full(len(both), MOST_TIMES)
+                times[last] = rest
+            token, doc, times = both // n, (both % n).astype("<u2").tobytes(), times.astype("<u2").tobytes()
+            ends = np.append(np.flatnonzero(np.diff(token)) + 1, len(token)) * 2
             starts = np.append(0, ends[:-1])
             texts = list(codes)  # in order of their codes
             for k in range(0, len(texts), 10_000):
@@ -132,7 +138,7 @@ def _sums(path: str):
             for block, (docs, sums) in totals.items():
                 which, where = np.unique(np.concatenate(docs), return_inverse=True)
                 total = np.bincount(where, weights=np.concatenate(sums)).astype("<i8")
-                packed = [pa.array([which.astype("<i4").tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())]
+                packed = [pa.array([which.astype("<u2").tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, keys), pa.nulls(1, sizes), *packed], names)
             totals.clear()
 
@@ -148,8 +154,8 @@ def _sums(path: str):
             known.update(zip(fresh, count_pieces(path, fresh), strict=True))
             for block, text, docs, times in zip(blocks, texts, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 into = totals.setdefault(block, ([], []))
-                into[0].append(np.frombuffer(docs, "<i4"))
-                into[1].append(np.frombuffer(times, "<i4") * known[text])
+                into[0].append(np.frombuffer(docs, "<u2"))
+                into[1].append(np.frombuffer(times, "<u2").astype(np.int64) * known[text])
             held += len(texts)
             if held > HELD_ROWS:
                 yield from flush(*kinds)
@@ -169,7 +175,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if batch.column(1)[k].is_valid:
                 heads[block] = batch.column(1)[k].values, batch.column(2)[k].values
                 continue
-            docs, more = np.frombuffer(batch.column(3)[k].as_py(), "<i4"), np.frombuffer(batch.column(4)[k].as_py(), "<i8")
+            docs, more = np.frombuffer(batch.column(3)[k].as_py(), "<u2").astype(np.int64), np.frombuffer(batch.column(4)[k].as_py(), "<i8")
             have = sums.get(block, np.zeros(0, np.int64))
             if len(have) <= docs[-1]:
                 have = sums[block] = np.append(have, np.zeros(max(docs[-1] + 1, 2 * len(have)) - len(have), np.int64))

@@ -57,6 +57,13 @@ def test_token_counts_in_small_blocks(docs, texts, monkeypatch):
     assert token_counts.token_counts(docs.coalesce(1), COUNTED, public_tokenizers.PATTERN).count() == len(texts) + 2
 
 
+def test_token_counts_of_a_frequent_pretoken(spark):
+    rows = spark.createDataFrame([(0, " xyzzy" * 150_001), (1, " xyzzy b")], "doc_id long, text string")
+    t = Tokenizer.from_file(COUNTED)
+    want = {k: len(t.encode(x, add_special_tokens=False).ids) for k, x in ((0, " xyzzy" * 150_001), (1, " xyzzy b"))}
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(rows, COUNTED, public_tokenizers.PATTERN).collect()} == want
+
+
 def test_media_round_trip(docs, texts):
     want = dict(texts)
     rows = media.read_media(media.with_media(docs)).collect()
