@@ -1,8 +1,8 @@
 """Secret scan: fixed forms, and strings that look random under two character Markov models. DataFrame functions only.
 
 Two first-order models over the characters of ALPHABET are counted from labelled samples: random strings (digests of a
-running number, written in hex, base 64 and capitals with digits) and ordinary identifiers (words of a bounded sample
-of SAMPLE_DOCS documents, alone and joined as identifiers are, and plain numbers). A run of at least LEAST_RUN such
+running number, written in hex, base 64 and capitals with digits) and ordinary identifiers (words of a sample
+of about SAMPLE_DOCS documents, whatever the size of the table, alone and joined as identifiers are, and plain numbers). A run of at least LEAST_RUN such
 characters is a secret if the mean log-likelihood ratio of its transitions exceeds LEAST_MEAN and their sum LEAST_SUM.
 Runs that overlap a span of a fixed form are left to that form.
 
@@ -55,7 +55,9 @@ def labelled_samples(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     random = spark.range(SAMPLE_STRINGS).select(
         F.explode(F.array(F.substr(digest, F.lit(1), size), F.substr(base64, F.lit(1), size), F.substr(F.regexp_replace(F.upper(F.substr(base64, F.lit(30))), "[+/]", "7"), F.lit(1), size))).alias("token")
     )
-    sample = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text")).where("text is not null").orderBy("h").limit(SAMPLE_DOCS)
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))  # by a hash of key and text, so nothing is sorted or gathered; repeats count once
+    hashed = docs.select(F.xxhash64(docs[key], docs[text]).alias("h"), docs[text].cast("string").alias("text")).where("text is not null")
+    sample = hashed.where(F.pmod("h", F.lit(2**31)) < int(share * 2**31)).dropDuplicates(["h"])
     words = F.filter(F.split("text", r"[^\p{L}\p{Nd}]+"), lambda w: (F.length(w) > 0) & ~w.rlike("[0-9a-f]{16}|AKIA[A-Z0-9]{14}"))
     words = F.slice(words, 1, 400)  # of a training text, so that a long one doesn't outweigh the rest
     pairs = F.zip_with(words, F.slice(words, 2, 400), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit("_"), b)))
