@@ -34,6 +34,8 @@ TREES, DEPTH, LEAST_DEPTH = 16, 6, 4
 NEIGHBOURS = 12
 #: Percent that the intersection must be of the union.
 PERCENT = 85
+#: Tasks that the edges of one node are spread over.
+SALTS = 16
 #: Ids sent to every executor at most; more go through a shuffle.
 BROADCAST_IDS = 1_000_000
 _HASHES = TREES * DEPTH
@@ -200,15 +202,21 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     return found.where("b is not null").select("a", "b").unionAll(across.select("a", "b")).distinct()
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges and m of their u; the edges of one u, which may be most of all, are dealt by salt too."""
+    spread = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return spread.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"])
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """Edges (u, v), u > v, to stars (u, smallest of its component)."""
     state = None
     while True:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = _with_least(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = written(small, "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == state:
