@@ -172,24 +172,22 @@ def training_sample(docs: DataFrame, labels: DataFrame, allowed: Column | None =
     """Whole texts of a bounded sample of labelled documents: in order of a hash, up to rows of each class and chars in all."""
     marks = labels.select(labels["doc_id"].alias("key"), labels["toxic"].alias("toxic")).where("key is not null and toxic is not null")
     marks = marks.groupBy("key").agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.select(docs["doc_id"].alias("key"), docs["text"].cast("string").alias("text"))
+    texts = docs.select(docs["doc_id"].alias("key"), docs["text"].cast("string").alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
     if allowed is not None:
         marks = marks.where(allowed)
-    sized = texts.join(marks, "key").select("toxic", F.xxhash64("text").alias("h"), "text").where("text is not null")
-    picked = [sized.where(f"toxic {sign} 0").select("h", F.length("text").alias("n")).distinct().orderBy("h").limit(rows).collect() for sign in (">", "=")]
-    hashes: list[int] = []
-    for found in picked:
+    sized = texts.select("key", "h", F.length("text").alias("n")).join(marks, "key").groupBy("h", "n").agg(F.max("toxic").alias("toxic"))  # texts stay where they are
+    label: dict[int, int] = {}
+    for sign in (">", "="):
         room = chars // 2
-        for x in found:
+        for x in sized.where(f"toxic {sign} 0").orderBy("h", "n").limit(rows).collect():
             if (room := room - x["n"]) < 0:
                 break
-            hashes.append(x["h"])
-    if not hashes:
+            label[x["h"]] = int(x["toxic"] > 0)
+    if not label:
         return [], []
-    wanted = docs.sparkSession.createDataFrame([(x,) for x in hashes], "h long")
-    out = sized.join(F.broadcast(wanted), "h").groupBy("h", "text").agg(F.max("toxic").alias("toxic")).collect()
-    out.sort(key=lambda x: (x["h"], x["text"]))
-    return [x["text"] for x in out], [int(x["toxic"] > 0) for x in out]
+    wanted = docs.sparkSession.createDataFrame([(x,) for x in label], "h long")  # at most 2 * rows
+    out = sorted((x["h"], x["text"]) for x in texts.join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("text").alias("text")).collect())
+    return [x[1] for x in out], [label[x[0]] for x in out]
 
 
 def _score(model: Model, names: list[str]):
