@@ -57,18 +57,19 @@ def subwords(word: str) -> list[int]:
 class Model:
     """What scoring needs: each embedding row seen through the softmax layer, its offset, and the final slope and offset."""
 
-    rows: np.ndarray
+    rows: list[float]
     offset: float
     slope: float
     shift: float
 
     def word(self, word: str) -> float:
-        return float(self.rows[subwords(word)].mean())
+        own = subwords(word)
+        return sum(map(self.rows.__getitem__, own)) / len(own)
 
     def logit(self, scores: np.ndarray) -> float:
         """Of the worst window; a text shorter than a window is one window, an empty one counts as a harmless word."""
         if not len(scores):
-            return self.offset + float(self.rows.min())
+            return self.offset + min(self.rows)
         if len(scores) <= WINDOW:
             return self.offset + float(scores.sum()) / WINDOW
         sums = np.cumsum(scores)
@@ -82,14 +83,14 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     """Train on whole texts; without both classes, the model that scores 0 everywhere."""
     y = np.array(toxic, float)
     if len(y) == 0 or y.min() == y.max():
-        return Model(np.zeros(BUCKETS), 0.0, 0.0, -40.0)
+        return Model([0.0] * BUCKETS, 0.0, 0.0, -40.0)
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
     docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int64) for t in texts]
     keep = [k for k, d in enumerate(docs) if len(d)]
     docs, y = [docs[k] for k in keep], y[keep] > 0
     if y.all() or not y.any():
-        return Model(np.zeros(BUCKETS), 0.0, 0.0, -40.0)
+        return Model([0.0] * BUCKETS, 0.0, 0.0, -40.0)
     bags = [subwords(w) for w in index]
     sizes = np.array([len(x) for x in bags])
     flat = np.concatenate([np.array(x) for x in bags])
@@ -147,8 +148,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
                 v += 0.01 * (g * g - v)
                 x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         scores = np.add.reduceat((embed @ (layer[:, 1] - layer[:, 0]))[flat], starts) / sizes
-    model = Model(embed @ (layer[:, 1] - layer[:, 0]), float(offset[1] - offset[0]), 1.0, 0.0)
-    model.rows[np.bincount(flat, minlength=BUCKETS) == 0] = 0.0  # a row that no training word uses says nothing
+    used = np.bincount(flat, minlength=BUCKETS) > 0  # a row that no training word uses says nothing
+    model = Model(np.where(used, embed @ (layer[:, 1] - layer[:, 0]), 0.0).tolist(), float(offset[1] - offset[0]), 1.0, 0.0)
     known = np.array([model.word(x) for x in index])
     z = np.array([model.logit(known[d]) for d in docs])
     weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
@@ -200,7 +201,7 @@ def _score(model: Model, names: list[str]):
                 for w in set(row).difference(known):
                     known[w] = model.word(w)
                 out.append(model.probability(model.logit(np.fromiter(map(known.__getitem__, row), float, len(row)))))
-            if len(known) > 1_000_000:
+            if len(known) > 500_000:
                 known.clear()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names)
 
