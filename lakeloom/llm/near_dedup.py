@@ -4,13 +4,15 @@
    minimum hashes. Texts with equal sets are one node, named by its smallest key.
 2. Each tree lays the nodes out in the order of its own DEPTH hashes, in range partitions. Nodes that share the first
    LEAST_DEPTH hashes form a region; the NEIGHBOURS nodes before a node in its region are those with the longest common
-   prefixes, so where a region is dense the depth that two candidates share grows with it. To tie a region together
-   whose members are all near one text but not near each other, every member is also compared with the region's hub,
-   the member closest to its majority. Work and candidates are linear in the nodes; no region is ever paired with
-   itself. The first and last rows of each partition are compared across its border afterwards.
+   prefixes, up to DEPTH hashes. To tie a region together whose members are all near one text but not near each other,
+   every member is also compared with the region's hub, the member closest to its majority. Work and candidates of this
+   step are linear in the nodes; the pairs it leaves out are step 4's. The first and last rows of each partition are compared across its border afterwards.
 3. A candidate whose sketch (two bits of each minimum hash) is over four standard deviations below what the threshold
    implies is dropped; the others are confirmed on full sets by an integer test. Links are made into components by
    alternating large-star and small-star steps, each written to the shared folder.
+4. Where a region holds more nodes than the window and more than one component, all its pairs from different components
+   are compared: by sketch, and what passes on full sets, in pairs of blocks of CROWD_BLOCK nodes. The components so
+   linked are merged. Afterwards each pair that shares a region was compared or is in one component.
 
 Cases: a text without words, or null, is linked with nothing; with fewer words than a shingle the whole text is the
 one shingle; rows with equal keys count as one document; rows without a key are linked with nothing and are their own
@@ -36,6 +38,10 @@ NEIGHBOURS = 12
 PERCENT = 85
 #: Tasks that the edges of one node are spread over.
 SALTS = 16
+#: Nodes in one block of a crowded region; a task holds two blocks.
+CROWD_BLOCK = 1000
+#: Shingles multiplied at once when two blocks are compared.
+CROWD_SHINGLES = 2048
 #: Ids sent to every executor at most; more go through a shuffle.
 BROADCAST_IDS = 1_000_000
 _HASHES = TREES * DEPTH
@@ -124,7 +130,8 @@ def _mismatches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(percent: int, borders: bool):
-    """Sorted rows (tree, order, node, sketch) to candidate pairs; with borders, also the partition's first and last rows."""
+    """Sorted rows (tree, order, node, sketch) to candidate pairs; with borders, also the partition's first and last rows,
+    and the members of regions that are larger than the window or may go on in another partition."""
     limit, prefix = most_mismatches(percent), 4 * LEAST_DEPTH
 
     def pairs_of(region: np.ndarray, node: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +159,20 @@ def _neighbours(percent: int, borders: bool):
         held: list[tuple[int, bytes, int, bytes]] = []
         first: list[tuple] = []
         last: list[tuple] = []
-        names = ["a", "b", "tree", "order", "sketch"]
+        names = ["a", "b", "tree", "order", "sketch", "region"]
+
+        def crowds(rows: list[tuple], region: np.ndarray) -> Iterator[pa.RecordBatch]:
+            sizes = np.bincount(region)
+            crowded = sizes > NEIGHBOURS + 1
+            crowded[[0, -1]] = True
+            inside = np.flatnonzero(crowded[region]).tolist()
+            marks: dict[int, int] = {}
+            for k in inside:
+                if region[k] not in marks:
+                    marks[region[k]] = xxhash.xxh3_64_intdigest(bytes([rows[k][0]]) + rows[k][1][:prefix]) - 2**63
+            n = len(inside)
+            columns = [pa.array([rows[k][2] for k in inside], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([rows[k][3] for k in inside], pa.binary()), pa.array([marks[region[k]] for k in inside], pa.int64())], names)
 
         def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             ids: dict[tuple, int] = {}
@@ -160,7 +180,9 @@ def _neighbours(percent: int, borders: bool):
             cells = np.frombuffer(b"".join(x[3] for x in rows), np.uint64).reshape(len(rows), -1)
             a, b = pairs_of(region, np.fromiter((x[2] for x in rows), np.int64, len(rows)), cells)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.int64())], names)
+            if borders:
+                yield from crowds(rows, region)
 
         for batch in batches:
             rows = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
@@ -182,14 +204,15 @@ def _neighbours(percent: int, borders: bool):
         if held:
             yield from flush(held)
         for t, o, node, s in first + last:
-            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.nulls(1, pa.int64()), pa.array([t], pa.int32()), pa.array([o], pa.binary()), pa.array([s], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.nulls(1, pa.int64()), pa.array([t], pa.int32()), pa.array([o], pa.binary()), pa.array([s], pa.binary()), pa.nulls(1, pa.int64())], names)
 
     return work
 
 
-def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes that some tree puts near each other."""
-    schema = "a long, b long, tree int, order binary, sketch binary"
+def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, of nodes that some tree puts near each other; and region, node and sketch of the
+    members of regions that may be larger than the window."""
+    schema = "a long, b long, tree int, order binary, sketch binary, region long"
     width = 4 * DEPTH
     rows = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "node", "signs", "sketch").select(
         "tree", F.expr(f"substring(signs, 1 + {width} * tree, {width})").alias("order"), "node", "sketch"
@@ -197,9 +220,127 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     parts = parallelism(nodes.sparkSession)
     ranged = rows.repartitionByRange(parts, "tree", "order").sortWithinPartitions("tree", "order", "node")
     found = written(in_arrow(ranged, _neighbours(percent, True), schema), "candidates")
-    edges = found.where("b is null").selectExpr("tree", "order", "a as node", "sketch").distinct().repartition(1).sortWithinPartitions("tree", "order", "node")
+    edges = found.where("tree is not null").selectExpr("tree", "order", "a as node", "sketch").distinct().repartition(1).sortWithinPartitions("tree", "order", "node")
     across = in_arrow(edges, _neighbours(percent, False), schema)  # a few rows of each partition
-    return found.where("b is not null").select("a", "b").unionAll(across.select("a", "b")).distinct()
+    pairs = found.where("b is not null").select("a", "b").unionAll(across.select("a", "b")).distinct()
+    return pairs, found.where("region is not null").select("region", F.col("a").alias("node"), "sketch")
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray | list]]:
+    """Rows sorted by (region, i, j) to the columns of each such unit."""
+    held: list[tuple] = []
+    names: list[str] = []
+
+    def columns(rows: list[tuple]) -> dict:
+        return dict(zip(names, zip(*rows, strict=True), strict=True))
+
+    for batch in batches:
+        names = batch.schema.names
+        plain = [c if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
+        for row in zip(*plain, strict=True):
+            if held and held[-1][:3] != row[:3]:
+                yield columns(held)
+                held = []
+            held.append(row)
+    if held:
+        yield columns(held)
+
+
+def _sides(unit: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of a unit's first and second block, which are the same where i = j."""
+    second = np.array(unit["second"], bool)
+    return (np.arange(len(second)),) * 2 if unit["i"][0] == unit["j"][0] else (np.flatnonzero(~second), np.flatnonzero(second))
+
+
+def _survivors(percent: int):
+    """Rows of units to those that have a row of another component, in the other block, within the sketch's limit."""
+    limit = most_mismatches(percent)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _units(batches):
+            comp = np.array(unit["comp"], np.int64)
+            cells = np.frombuffer(b"".join(unit["sketch"]), np.uint64).reshape(len(comp), -1)
+            left, right = _sides(unit)
+            alive = np.zeros(len(comp), bool)
+            for k in left.tolist():
+                near = right[(comp[right] != comp[k]) & (_mismatches(cells[right], cells[k][None, :]) <= limit)]
+                if len(near):
+                    alive[k] = True
+                    alive[near] = True
+            if alive.any():
+                at = np.flatnonzero(alive).tolist()
+                yield pa.RecordBatch.from_pydict({c: [unit[c][k] for k in at] for c in ("region", "i", "j", "second", "node", "comp")}, pa.schema([("region", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("second", pa.bool_()), ("node", pa.int64()), ("comp", pa.int64())]))
+
+    return work
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of left with each of right."""
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)  # exact to 2**24 shingles
+    places = []
+    for sets in (left, right):
+        owner, values = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+        own = common[at] == values if len(common) else np.zeros(len(values), bool)
+        owner, at = owner[own], at[own]
+        order = np.argsort(at, kind="stable")
+        places.append((owner[order], at[order]))
+    for k in range(0, len(common), CROWD_SHINGLES):
+        parts = []
+        for (owner, at), sets in zip(places, (left, right), strict=True):
+            lo, hi = np.searchsorted(at, [k, k + CROWD_SHINGLES])
+            part = np.zeros((len(sets), CROWD_SHINGLES), np.float32)
+            part[owner[lo:hi], at[lo:hi] - k] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _bridged(percent: int):
+    """Rows of units with their sets to pairs (u, v), u > v, of components that a pair of nodes links."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _units(batches):
+            comp = np.array(unit["comp"], np.int64)
+            sets = [x.values.to_numpy() for x in unit["shingles"]]
+            left, right = _sides(unit)
+            if not len(left) or not len(right):
+                continue
+            shared = _shared([sets[k] for k in left], [sets[k] for k in right])
+            sizes = np.array([len(x) for x in sets], np.int64)
+            linked = 100 * shared >= percent * (sizes[left][:, None] + sizes[right][None, :] - shared)
+            a, b = np.nonzero(linked & (comp[left][:, None] != comp[right][None, :]))
+            both = np.unique(np.stack([np.maximum(comp[left[a]], comp[right[b]]), np.minimum(comp[left[a]], comp[right[b]])], axis=1), axis=0)
+            if len(both):
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+
+    return work
+
+
+def _bridges(crowds: DataFrame, stars: DataFrame, narrow: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs (u, v), u > v, of components that a pair of nodes in one crowded region links; None if there are none."""
+    parts = parallelism(crowds.sparkSession)
+    told = crowds.join(stars.select(F.col("u").alias("node"), F.col("v").alias("smallest")), "node", "left").select("region", "node", F.coalesce("smallest", "node").alias("comp"), "sketch")
+    told = written(told, "crowds")
+    several = told.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(f"n > {NEIGHBOURS + 1} and low <> high")
+    several = written(several.select("region", F.ceil(F.col("n") / CROWD_BLOCK).cast("int").alias("blocks")), "crowded")
+    regions = several.count()
+    if not regions:
+        return None
+    rows = told.join(F.broadcast(several) if regions <= BROADCAST_IDS else several, "region").dropDuplicates(["region", "node"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "comp", "sketch")
+    dealt = rows.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j")
+    alive = written(in_arrow(dealt, _survivors(percent), "region long, i int, j int, second boolean, node long, comp long"), "survivors")
+    ids = alive.select("node").distinct()
+    n = ids.count()
+    if not n:
+        return None
+    chosen = narrow.where("key is not null").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("key") == F.col("node"), "left_semi").dropDuplicates(["key", "text"])
+    sized = alive.join(in_arrow(chosen, _sets, "node long, shingles array<long>"), "node").select("region", "i", "j", "second", "comp", "shingles")
+    dealt = sized.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j")
+    return written(in_arrow(dealt, _bridged(percent), "u long, v long").distinct(), "bridges")
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -232,7 +373,8 @@ def components(docs: DataFrame, percent: int = PERCENT, text: str = "text", key:
     named = rows.where("digest is not null and key is not null")
     digests = named.groupBy("digest").agg(F.min("key").alias("node"), F.first("signs").alias("signs"), F.first("sketch").alias("sketch"))
     digests = written(digests, "digests")
-    near = written(_candidates(digests.select("node", "signs", "sketch"), percent), "pairs")
+    near, crowds = _candidates(digests.select("node", "signs", "sketch"), percent)
+    near = written(near, "pairs")
     ids = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).distinct()
     few = ids.count() <= BROADCAST_IDS
     chosen = narrow.where("key is not null").join(F.broadcast(ids) if few else ids, F.col("key") == F.col("node"), "left_semi").dropDuplicates(["key", "text"])
@@ -245,6 +387,9 @@ def components(docs: DataFrame, percent: int = PERCENT, text: str = "text", key:
     repeated = named.groupBy("key").agg(F.count_distinct("digest").alias("k")).where("k > 1").select(F.col("key").alias("u"))
     edges = linked.select(F.col("b").alias("u"), F.col("a").alias("v")).unionAll(same_key.join(repeated, "u"))
     stars = _stars(written(edges.distinct(), "links"))
+    bridges = _bridges(crowds, stars, narrow, percent)
+    if bridges is not None and bridges.head(1):
+        stars = _stars(written(stars.unionAll(bridges), "links"))
     of_digest = digests.select("digest", "node").join(stars.select(F.col("u").alias("node"), F.col("v").alias("smallest")), "node", "left").select("digest", F.coalesce("smallest", "node").alias("component"))
     out = rows.join(of_digest, "digest", "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))

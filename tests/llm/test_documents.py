@@ -229,6 +229,35 @@ def test_near_copies_around_one_text(spark):
     assert got == want
 
 
+def test_near_copies_of_two_dense_groups_with_one_link(spark):
+    words = prose(6, 400).split()
+    other = list(words)
+    apart = range(20, 400, 35)  # 11 words
+    for k in apart:
+        other[k] = f"other{k}"
+
+    def near(base, seed):
+        out = list(base)
+        out[random.Random(seed).randrange(400)] = f"edit{seed}"
+        return " ".join(out)
+
+    def swapped(base, of, places):
+        return " ".join(of[k] if k in places else w for k, w in enumerate(base))
+
+    texts = [(k, near(words if k < 300 else other, k)) for k in range(600)]
+    texts[150] = (150, swapped(words, other, apart[:3]))
+    texts[450] = (450, swapped(other, words, apart[3:6]))
+    few = [texts[k] for k in (0, 149, 150, 299, 300, 449, 599)]
+    assert {c for _, c in brute_components(few).values()} == {0, 300} and {c for _, c in brute_components([*few, texts[450]]).values()} == {0}
+    assert {r.component_id for r in near_dedup.components(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()} == {0}
+
+
+def test_shared_counts_intersections():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 6000, n)) for n in (1, 5, 900, 3000, 5000)]
+    assert near_dedup._shared(sets[:3], sets[2:]).tolist() == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:3]]
+
+
 def test_near_copies_keep_other_columns_and_null_keys(spark):
     rows = rows_of([(0, prose(1, 50)), (1, prose(1, 50)), (2, "")]) + [(None, prose(1, 50), None, None, None, None, None, None, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
