@@ -31,6 +31,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL = 1.5
 MOST = 2.0
 SEED = 20240229
+#: One copy, where shares are added up as whole numbers.
+UNIT = 1 << 20
 #: Documents whose numbers of copies are sent to every executor at most; more go through a shuffle.
 BROADCAST_DOCS = 500_000
 
@@ -115,6 +117,11 @@ def _taken_before(place: F.Column, block: int) -> F.Column:
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, seed: int = SEED, block: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row."""
+    return _shares(docs, weights, total, seed, block).drop("source")
+
+
+def _shares(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, seed: int = SEED, block: int = BLOCK_WORDS) -> DataFrame:
+    """What mixed returns, and source."""
     spark = docs.sparkSession
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
@@ -135,15 +142,38 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TO
     run = run.join(F.broadcast(table) if len(rows) <= 10_000 else table, F.col("source").eqNullSafe(F.col("of")))
     run = run.withColumn("until", F.col("offset") + F.col("end")).withColumn("from", F.col("until") - F.col("size"))
     taken = F.when(F.col("size") > 0, _taken_before("until", block) - _taken_before("`from`", block)).otherwise(0).cast("long")
-    return run.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return run.select("source", "doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def _copies(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size and copies of the documents that the mix takes, in whole copies.
+
+    The shares taken / size of a source's documents are laid end to end from a seeded start, by size class and hash, and a
+    document has a copy for each whole number in its stretch: its share rounded up or down, so that copies and words of
+    each size class keep to the shares.
+    """
+    seed = options.get("seed", SEED)
+    every = _shares(docs, **options).where("taken > 0").groupBy("doc_id", "size").agg(F.min("source").alias("source"), F.avg(F.col("taken") / F.col("size")).alias("share"))
+    place = F.xxhash64(F.lit(seed), F.lit("copies"), "doc_id", "size")
+    every = every.select("doc_id", "size", "source", F.round(F.col("share") * UNIT).cast("long").alias("part"), F.floor(2 * F.log2("size")).cast("int").alias("class"), place.alias("place"))
+    every = written(every.withColumn("bucket", F.pmod("place", F.lit(BUCKETS)).cast("int")), "shares")
+    sums = every.groupBy("source", "class", "bucket").agg(F.sum("part").alias("parts"))
+    before = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit(""))), F.lit(UNIT))
+    offsets = sums.select(F.col("source").alias("of"), F.col("class").alias("kind"), F.col("bucket").alias("in"), (F.coalesce(F.sum("parts").over(before), F.lit(0)) + start).alias("offset"))
+    inside = Window.partitionBy("source", "class", "bucket").orderBy("place", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    run = every.withColumn("end", F.sum("part").over(inside))
+    run = run.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("kind")) & (F.col("bucket") == F.col("in")))
+    until = F.col("offset") + F.col("end")
+    return run.select("doc_id", "size", (F.floor(until / UNIT) - F.floor((until - F.col("part")) / UNIT)).cast("int").alias("copies")).where("copies > 0")
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as the mix takes it, in whole copies (rounded; none drops it).
+    """The rows of docs, with all their columns, each as often as the mix takes it, in whole copies (none drops it).
 
     Rows with equal doc_id and size are taken equally often.
     """
-    every = mixed(docs, **options).where("taken > 0").groupBy("doc_id", "size").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("copies")).where("copies > 0")
+    every = _copies(docs, **options)
     every = written(every.select(F.struct(F.col("doc_id").alias("id"), "size").alias("of"), F.array_repeat(F.lit(0), F.col("copies")).alias("copies")), "copies")
     few = every.count() <= BROADCAST_DOCS
     whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))

@@ -66,6 +66,22 @@ def test_mix_of_blocks_is_counted_right(spark):
     assert copies.columns == docs.columns and 1.2 < copies.count() / docs.count() < 1.8
 
 
+def test_copies_keep_to_targets_and_long_documents(spark):
+    rng = random.Random(11)
+    schema = "doc_id long, text string, source string"
+    rows = [(k, "w " * max(1, int(rng.lognormvariate(5.7, 1))), "z" if k % 2 else "a") for k in range(4000)]
+    docs = spark.createDataFrame(rows, schema)
+    options = {"weights": (1.08, 0.42), "total": 0.75}  # ratios of about 1.08 and 0.42
+    aims = {r.source_size: r.target for r in mixing.mixed(docs, **options).collect()}
+    count = dict(mixing.repeated(docs, **options).groupBy("doc_id").count().collect())
+    for source in "az":
+        sizes = {k: len(t.split()) for k, t, s in rows if s == source}
+        whole, longs = sum(sizes.values()), [k for k in sizes if sizes[k] > 640]
+        ratio = aims[whole] / whole
+        assert abs(sum(n * count.get(k, 0) for k, n in sizes.items()) / aims[whole] - 1) < 0.02
+        assert abs(sum(count.get(k, 0) for k in longs) / len(longs) / ratio - 1) < 0.1
+
+
 def phrases(text):
     found, phrase = set(), ""
     for c in text:
