@@ -34,6 +34,8 @@ from .common import in_arrow
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 WINDOW = 2
+#: Characters of a word; longer ones are taken as runs that overlap by half.
+MOST_CHARS = 40
 SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 5_000_000
 #: Rounds of picking windows, gradient steps in each, and their rate.
@@ -43,12 +45,16 @@ _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """The words of a text; one longer than MOST_CHARS, as in scripts without spaces, as overlapping runs of that length."""
+    words = _WORD.findall((text or "").lower())
+    if not words or len(max(words, key=len)) <= MOST_CHARS:
+        return words
+    return [w[k : k + MOST_CHARS] for w in words for k in range(0, max(1, len(w) - MOST_CHARS // 2), MOST_CHARS // 2)]
 
 
 def subwords(word: str) -> list[int]:
     """Rows of the embedding table: of the word itself and of its n-grams of 3 to 5 characters, with end marks."""
-    marked = f"<{word[:40]}>"
+    marked = f"<{word}>"
     grams = [marked, *(marked[k : k + n] for n in (3, 4, 5) for k in range(len(marked) - n + 1))]
     return [zlib.crc32(x.encode()) % BUCKETS for x in grams]
 

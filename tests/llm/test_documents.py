@@ -137,6 +137,18 @@ def test_toxicity_generalises_to_misspellings(spark):
     assert kept.columns == docs.columns and kept.count() == sum(x < 0.7 for x in scores.values())
 
 
+def test_toxicity_scores_all_of_a_long_word():
+    word = "".join(chr(0x4E00 + k) for k in range(500))
+    runs = toxicity.words_of(f"a {word} b")
+    assert runs[0] == "a" and runs[-1] == "b" and max(map(len, runs)) == 40 and all(any(word[k : k + 20] in x for x in runs) for k in range(481))
+    assert toxicity.words_of("x" * 40) == ["x" * 40] and [len(x) for x in toxicity.words_of("x" * 41)] == [40, 21]
+    texts = [prose(k, 30) + (" idiot" if k % 2 else "") for k in range(60)]
+    model = toxicity.fit(texts, [k % 2 for k in range(60)])
+    clean, bad = ("_".join(x) for x in (prose(99, 30).split(), [*prose(99, 30).split(), "idiot"]))
+    logits = [model.logit(np.array([model.word(w) for w in toxicity.words_of(x)])) for x in (clean, bad)]
+    assert logits[1] > logits[0]
+
+
 def test_toxicity_without_labels(docs):
     model = toxicity.fit([], [])
     assert {r.score for r in toxicity.scored(docs, model).collect()} == {model.probability(0.0)} and model.probability(0.0) < 1e-9
