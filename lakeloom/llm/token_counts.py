@@ -17,6 +17,7 @@ an empty table gives an empty table; other columns of the input are never looked
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -65,15 +66,20 @@ def _inverted(path: str, pattern: str):
         from pyspark import TaskContext
 
         split, special = splitter(pattern), special_strings(path)
+        marks = re.compile("(" + "|".join(map(re.escape, special)) + ")")
         part, number = TaskContext.get().partitionId(), 0
         kind = pa.int64()
 
         def pieces(text: str) -> list[str]:
-            for mark in special:
-                if mark in text:
-                    first, _, rest = text.partition(mark)
-                    return pieces(first) + [mark] + pieces(rest)
-            return split(text)
+            if not any(mark in text for mark in special):
+                return split(text)
+            out = []
+            for k, piece in enumerate(marks.split(text)):  # every second one is a special string
+                if k % 2:
+                    out.append(piece)
+                else:
+                    out += split(piece)
+            return out
 
         def batch_of(block: int, keys: list, sizes: list, texts: list, docs: list, times: list) -> pa.RecordBatch:
             columns = [pa.array([block] * len(texts), pa.int64()), pa.array(keys, pa.list_(kind)), pa.array(sizes, pa.list_(pa.int64()))]

@@ -52,6 +52,12 @@ def test_token_counts_equal_library(docs, texts):
         assert (r.n_bytes, r.n_tokens) == (len(text.encode()), len(t.encode(text, add_special_tokens=False).ids))
 
 
+def test_token_counts_of_many_special_strings(spark):
+    text = "one <|endoftext|>" * 5000
+    want = len(Tokenizer.from_file(COUNTED).encode(text, add_special_tokens=False).ids)
+    assert token_counts.token_counts(spark.createDataFrame([(0, text)], "doc_id long, text string"), COUNTED, public_tokenizers.PATTERN).head().n_tokens == want
+
+
 def test_token_counts_in_small_blocks(docs, texts, monkeypatch):
     monkeypatch.setattr(token_counts, "BLOCK_DOCS", 2)
     assert token_counts.token_counts(docs.coalesce(1), COUNTED, public_tokenizers.PATTERN).count() == len(texts) + 2
