@@ -8,7 +8,7 @@ document's worst window under the current model and a gradient step on embedding
 and offset of the score are fitted on the same documents.
 
 The classifier is fitted on the driver on a bounded sample: at most SAMPLE_ROWS labelled documents of each class, in
-order of a hash of their text, and SAMPLE_CHARS characters in all. Scoring takes every word of every text: since
+order of a hash of their text, and SAMPLE_CHARS characters in all; texts that don't fit are passed over. Scoring takes every word of every text: since
 average and softmax layer are linear, a word contributes one number, computed once per distinct word of a task.
 
 Cases: a null or empty text, or one without words, has the score of an empty window, which is below that of any
@@ -186,9 +186,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, allowed: Column | None =
     label: dict[int, int] = {}
     for sign in (">", "="):
         room = chars // 2
-        for x in sized.where(f"toxic {sign} 0").orderBy("h", "n").limit(rows).collect():
-            if (room := room - x["n"]) < 0:
-                break
+        for x in sized.where(f"toxic {sign} 0 and n <= {room}").orderBy("h", "n").limit(rows).collect():
+            if x["n"] > room:
+                continue  # a shorter one may fit
+            room -= x["n"]
             label[x["h"]] = int(x["toxic"] > 0)
     if not label:
         return [], []

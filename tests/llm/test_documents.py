@@ -137,6 +137,13 @@ def test_toxicity_generalises_to_misspellings(spark):
     assert kept.columns == docs.columns and kept.count() == sum(x < 0.7 for x in scores.values())
 
 
+def test_toxicity_sample_passes_over_long_texts(spark):
+    rows = [(k, prose(k, 100 if k % 4 else 400), k % 2) for k in range(40)]
+    docs, marks = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int")
+    texts, labels = toxicity.training_sample(docs, marks, chars=3600)  # a text of 400 words never fits, two of 100 do
+    assert sorted(labels) == [0, 0, 1, 1] and sum(map(len, texts)) <= 3600
+
+
 def test_toxicity_scores_all_of_a_long_word():
     word = "".join(chr(0x4E00 + k) for k in range(500))
     runs = toxicity.words_of(f"a {word} b")
