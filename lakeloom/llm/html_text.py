@@ -50,6 +50,8 @@ DROPPED_NAMES = re.compile(
     r"comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|widget\w*|pagination|pager|search\w*|tags|copyright|legal|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Names that tell the state of a page or the subject of a post, not what the element is.
+STATE_NAMES = re.compile(r"^(?:has|is|no|not|with|without|category|cat|tag|tagged)[_-]|[_-](?:open|closed|enabled|disabled)$", re.I)
 #: Names of a site's header; that of an article belongs to it.
 HEADER_NAMES = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global|app|web)[_-]?)?header(?:[_-]?(?:bar|wrap|wrapper|container|inner))?(?:$|\s)", re.I)
 MAIN = ("article", "main")
@@ -58,28 +60,33 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|itemprop)(?:\s*=\s*(?:\"([^\"]
 _SPACE = re.compile(r"\s+")
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """An element's name in paths, whether it is dropped by what it says of itself, and whether it says it is the article or a header."""
+def _named_dropped(names: str) -> bool:
+    """Whether one of an element's names says that it isn't main text."""
+    return bool(DROPPED_NAMES.search(names)) and any(DROPPED_NAMES.search(x) and not STATE_NAMES.search(x) for x in names.split())
+
+
+def _label(tag: str, attributes: str) -> tuple[str, int, bool, bool]:
+    """An element's name in paths, whether it is dropped by what it is (2) or is named (1), and whether it says it is the article or a header."""
     found = {k.lower(): entities.unescape(a or b or c).strip().lower() for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     names = " ".join(filter(None, (found.get("class"), found.get("id"))))
     role = found.get("role", "")
     label = tag + "".join(f"{mark}{_SPACE.sub('.', found[k])}" for k, mark in (("role", "@"), ("class", "."), ("id", "#")) if found.get(k))
     is_main = tag in MAIN or role in MAIN or found.get("itemprop") == "articlebody"
-    dropped = tag in DROPPED_TAGS or role in DROPPED_ROLES or "hidden" in found or bool(names and tag not in ("html", "body") and DROPPED_NAMES.search(names))
+    dropped = 2 if tag in DROPPED_TAGS or role in DROPPED_ROLES or "hidden" in found else int(bool(names) and not is_main and tag not in ("html", "body") and _named_dropped(names))
     return label.replace("/", "|"), dropped, is_main and not dropped, tag == "header" or bool(names and HEADER_NAMES.search(names))
 
 
 def walk(html: str | None) -> tuple[dict[str, list], list[tuple[str, int, str]]]:
     """Of a page: for each element path its count, characters of text and a sum of text checksums; and its blocks.
 
-    A block is (path of its element, place of the outermost element dropped above it or -1, text); text is decoded,
-    its white space is single blanks.
+    A block is (path of its element, 0 if it is kept, 1 if it is in an article whose wrapper is dropped by name, or 2 if it
+    is dropped, text); text is decoded, its white space is single blanks.
     """
     html = html or ""
     paths: dict[str, list] = {"": [1, 0, 0]}
-    blocks: list[tuple[str, bool, str]] = []
-    # Of each open element: tag, path, whether it or one above is dropped, whether one is the article.
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    blocks: list[tuple[str, int, str]] = []
+    # Of each open element: tag, path, how far it is dropped (3: by the name of a wrapper only), whether one is the article.
+    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]
     pieces: list[str] = []
 
     def end_block() -> None:
@@ -89,7 +96,7 @@ def walk(html: str | None) -> tuple[dict[str, list], list[tuple[str, int, str]]]
         pieces.clear()
         if text:
             _, path, dropped, _ = stack[-1]
-            blocks.append((path, dropped, text))
+            blocks.append((path, min(dropped, 2), text))
             size, check = len(text), zlib.crc32(text.encode("utf-8", "replace"))
             while True:
                 entry = paths[path]
@@ -140,7 +147,14 @@ def walk(html: str | None) -> tuple[dict[str, list], list[tuple[str, int, str]]]
         label, dropped, main, header = _label(tag, attributes)
         _, path, above, inside = stack[-1]
         path = f"{path}/{label}"
-        dropped = above or dropped or header and not (inside or main)
+        if not dropped and header and not (inside or main):
+            dropped = 1
+        if above == 2 or dropped == 2 or dropped and inside:
+            dropped = 2
+        elif above == 3 and main:
+            dropped = 1
+        elif above or dropped:
+            dropped = 1 if above == 1 and not dropped else 3
         entry = paths.get(path)
         if entry is None:
             paths[path] = [1, 0, 0]
@@ -210,7 +224,7 @@ def templates(pages: DataFrame) -> DataFrame:
 def article_slots(classes: list[dict] | None) -> tuple[str | None, frozenset[str]]:
     """Of a host's template: the path of its article, if it has one, and the paths outside it whose text never varies."""
     root = [t for c in classes or () if not c["inner"] for t in c["tokens"]]
-    mains = [t for t in root if _is_article(t["path"]) and t["chars"] and t["total"] and not any(DROPPED_NAMES.search(s.replace(".", " ").replace("#", " ")) for s in t["path"].split("/"))]
+    mains = [t for t in root if _is_article(t["path"]) and t["chars"] and t["total"] and not any(_named_dropped(s.replace(".", " ").replace("#", " ")) for s in t["path"].split("/")[:-1])]
     main = max(mains, key=lambda t: (t["path"].rpartition("/")[2].startswith("article"), t["chars"], -len(t["path"])), default={"path": None})["path"]
     constant = frozenset(t["path"] for t in root if t["constant"] and t["chars"] and t["path"].count("/") > 2)
     return main, constant
@@ -221,11 +235,16 @@ def main_text(html: str | None, article: str | None = None, constant: frozenset[
     paths, blocks = walk(html)
     if article is None or article not in paths:
         own = [p for p, (_, chars, _) in paths.items() if _is_article(p) and chars]
-        kept = {p for p, dropped, _ in blocks if not dropped}
-        own = [p for p in own if any(k == p or k.startswith(p + "/") for k in kept)]
+        for level in (0, 1):  # an article whose wrapper is dropped by name only where there is no other
+            kept = {p for p, dropped, _ in blocks if dropped <= level}
+            if some := [p for p in own if any(k == p or k.startswith(p + "/") for k in kept)]:
+                break
+        own = some
         article = max(own, key=lambda p: (p.rpartition("/")[2].startswith("article"), paths[p][1]), default=None)
     if article is not None:
-        return "\n".join(text for path, dropped, text in blocks if not dropped and (path == article or path.startswith(article + "/")))
+        inside = [(dropped, text) for path, dropped, text in blocks if path == article or path.startswith(article + "/")]
+        level = 0 if any(not dropped for dropped, _ in inside) else 1
+        return "\n".join(text for dropped, text in inside if dropped <= level)
 
     def fixed(path: str) -> bool:
         while path and path not in constant:

@@ -319,6 +319,15 @@ def test_page_text(spark):
     assert got[21].text == got[22].text == "" and all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_names_drop_no_article():
+    for names in ("post has-sidebar", "post category-legal", "post tag-search", "post comments-open", "sidebar"):
+        assert html_text.main_text(f'<body><article class="{names}"><p>Kept</p><div class="share">no</div></article></body>') == "Kept"
+    for names in ("layout with-sidebar", "wrapper no-sidebar"):
+        assert html_text.main_text(f'<body><div class="{names}"><p>Kept</p></div></body>') == "Kept"
+    assert html_text.main_text('<body><div class="widget"><div class="sidebar"><article><p>Kept</p><div class="related">no</div></article><p>no</p></div></div></body>') == "Kept"
+    assert html_text.main_text('<body><article><p>Kept</p></article><div class="related"><article><p>no, though this is longer</p></article></div></body>') == "Kept"
+
+
 def test_template_classes(spark):
     rows = [(k, f"https://a.example/{k}", page("<article><p>x</p></article>", "", k)) for k in range(5)]
     found = html_text.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
