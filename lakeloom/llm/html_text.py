@@ -5,11 +5,13 @@
    as the exclusive or of a hash of (page, count) over the pages, which merges in any order, so a host of any size is
    aggregated without being gathered.
 2. Tokens of a host with one occurrence vector form an equivalence class. The class of the page's root, and classes
-   of two or more tokens that enough of the host's pages have, are valid; nested by their paths they are the host's
-   template. Its gaps are slots: each template element knows how much text its slot holds and if that text ever varies.
-3. Extraction takes the slot of the template's article (by tag or role; without one, the body), and leaves out slots
-   whose element is a menu, header, footer, sidebar, notice, advert, form, script, style or comment section by tag, role
-   or name, and, outside an article, slots whose text never varies. All text of the slots kept is returned, as blocks.
+   of two or more tokens that enough of the host's pages have, are valid; they are the host's template. Its gaps are
+   slots: each template element knows how much text its slot holds and if that text ever varies.
+3. Tags, roles and names do most of the extraction: it takes the slot of the root class's article (by tag or role;
+   without one, the body), and leaves out slots whose element is a menu, header, footer, sidebar, notice, advert, form,
+   script, style or comment section by tag, role or name. Names never drop an article, nor one inside a wrapper they
+   drop if the page has no other. The template adds, where there is no article, that slots of any valid class whose text
+   never varies are left out. All text of the slots kept is returned, as blocks.
 
 Cases: null, empty or textless html gives an empty text; pages without a host share one; a host with fewer than
 LEAST_PAGES pages has a template but no constant slots; repeated rows are pages of their own; a page cut off anywhere,
@@ -226,7 +228,8 @@ def article_slots(classes: list[dict] | None) -> tuple[str | None, frozenset[str
     root = [t for c in classes or () if not c["inner"] for t in c["tokens"]]
     mains = [t for t in root if _is_article(t["path"]) and t["chars"] and t["total"] and not any(_named_dropped(s.replace(".", " ").replace("#", " ")) for s in t["path"].split("/")[:-1])]
     main = max(mains, key=lambda t: (t["path"].rpartition("/")[2].startswith("article"), t["chars"], -len(t["path"])), default={"path": None})["path"]
-    constant = frozenset(t["path"] for t in root if t["constant"] and t["chars"] and t["path"].count("/") > 2)
+    every = [t for c in classes or () for t in c["tokens"]]
+    constant = frozenset(t["path"] for t in every if t["constant"] and t["chars"] and t["path"].count("/") > 2)
     return main, constant
 
 

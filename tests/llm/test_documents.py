@@ -319,6 +319,12 @@ def test_page_text(spark):
     assert got[21].text == got[22].text == "" and all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_constant_slots_of_optional_classes(spark):
+    rows = [(k, f"https://e.example/{k}", f'<html><body><div class="content"><p>Text {k}</p></div>' + ('<div class="x"><div><p>Same on most</p></div></div>' if k % 5 < 3 else "") + "</body></html>") for k in range(10)]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Text {k}" for k in range(10)}
+
+
 def test_names_drop_no_article():
     for names in ("post has-sidebar", "post category-legal", "post tag-search", "post comments-open", "sidebar"):
         assert html_text.main_text(f'<body><article class="{names}"><p>Kept</p><div class="share">no</div></article></body>') == "Kept"
