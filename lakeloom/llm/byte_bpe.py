@@ -20,12 +20,15 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import in_arrow
+from .common import in_arrow, quoted
 from .pretokens import splitter
 
-#: Distinct pre-tokens whose ids a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+#: Distinct pre-tokens whose ids a task remembers before it starts afresh.
+REMEMBERED = 100_000
+#: Characters of the texts that are cut into pre-tokens together, about.
+TOGETHER = 500_000
 
 
 def stand_ins() -> list[str]:
@@ -105,13 +108,30 @@ class ByteBpe:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text, as little-endian unsigned 32-bit integers."""
-        rows = [self._split(x or "") for x in texts]
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        self._learn(list(set().union(*rows).difference(self._known)))
+        out: list[bytes] = []
+        rows: list[list[str]] = []
+        chars = 0
+        for k, text in enumerate(texts):
+            rows.append(self._split(text or ""))
+            chars += len(text or "")
+            if chars >= TOGETHER or k + 1 == len(texts):
+                out += self._joined(rows)
+                rows, chars = [], 0
+        return out
+
+    def _joined(self, rows: list[list[str]]) -> list[bytes]:
         known = self._known
+        fresh = set().union(*rows).difference(known)
+        if len(known) + len(fresh) > REMEMBERED:
+            known.clear()
+            fresh = set().union(*rows)
+        self._learn(list(fresh))
         return [b"".join([known[x] for x in row]) for row in rows]
 
+    def forget(self) -> None:
+        """Let go of the pre-tokens seen so far."""
+        self._known.clear()
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""
         return b"".join(map(self._bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -126,23 +146,26 @@ def codec(vocabulary: str, pattern: str) -> ByteBpe:
 def encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", key: str = "doc_id", ids: bool = True) -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (binary, 4 bytes each) of every row's whole text."""
     kind = docs.schema[key].dataType
-    narrow = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
+    narrow = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("string").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary, pattern)
-        for batch in batches:
-            rows = bpe.encode(batch.column(1).to_pylist())
-            columns = [
-                batch.column(0),
-                pa.array([len(x) // 4 for x in rows], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string()),
-                pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in rows], pa.string()),
-            ]
-            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                columns.append(pa.array(rows, pa.binary()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = f"`{key}` {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
+        try:
+            for batch in batches:
+                rows = bpe.encode(batch.column(1).to_pylist())
+                columns = [
+                    batch.column(0),
+                    pa.array([len(x) // 4 for x in rows], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string()),
+                    pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in rows], pa.string()),
+                ]
+                names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+                if ids:
+                    columns.append(pa.array(rows, pa.binary()))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            bpe.forget()  # the codec outlives the task in its worker
+
+    schema = f"{quoted(key)} {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
     return in_arrow(narrow, encode, schema)

@@ -2,55 +2,67 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from lakeloom.plans.materialize import written
+
+__all__ = ["ARROW_ROWS", "WORD", "documents", "in_arrow", "n_words", "parallelism", "quoted", "written"]
 
 #: A word: a run of characters that are neither a space nor one of the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch sent to Python; documents may be long, so batches are short.
-ARROW_ROWS = 1024
+#: Rows and bytes of one Arrow batch sent to Python; documents may be long, so batches are short.
+ARROW_ROWS, ARROW_BYTES = 1024, 8 << 20
 _REPO = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and keep Arrow batches short."""
+    """Let Python workers import this package, and keep Arrow batches short, where the session doesn't set their size itself."""
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if _REPO not in have:
         env["PYTHONPATH"] = os.pathsep.join([_REPO, *filter(None, have)])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if not spark.sparkContext.getConf().contains(name):
+            spark.conf.set(name, str(most))
+
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, and hold what earlier tasks took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a new local one only where none is set (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    spark.sparkContext.setCheckpointDir(own := tempfile.mkdtemp(prefix="lakeloom-"))
-    return own
 
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow with short batches and workers that give memory back after each task."""
+    prepare(df.sparkSession)
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    @functools.wraps(f)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
 
+    if any("." in c or "`" in c for c in df.columns):  # names that mapInArrow takes for expressions
+        df = df.toDF(*(f"column{k}" for k in range(len(df.columns))))
+    return df.mapInArrow(work, schema)
 
-def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    prepare(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def parallelism(spark: SparkSession) -> int:
