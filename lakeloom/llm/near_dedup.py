@@ -2,17 +2,18 @@
 
 1. Every text becomes its set of distinct SHINGLE-word shingles (64-bit hashes), the set's digest, and TREES * DEPTH
    minimum hashes. Texts with equal sets are one node, named by its smallest key.
-2. Each tree lays the nodes out in the order of its own DEPTH hashes, in range partitions. Nodes that share the first
-   LEAST_DEPTH hashes form a region; the NEIGHBOURS nodes before a node in its region are those with the longest common
-   prefixes, up to DEPTH hashes. To tie a region together whose members are all near one text but not near each other,
-   every member is also compared with the region's hub, the member closest to its majority. Work and candidates of this
-   step are linear in the nodes; the pairs it leaves out are step 4's. The first and last rows of each partition are compared across its border afterwards.
+2. Each tree lays the nodes out in the order of its own DEPTH hashes, in range partitions, HELD_ROWS or so at a time.
+   Nodes that share the first LEAST_DEPTH hashes form a region; the NEIGHBOURS nodes before a node in its region are
+   those with the longest common prefixes, up to DEPTH hashes. To tie a region together whose members are all near one
+   text but not near each other, every member is also compared with the region's hub, the member closest to its
+   majority. Work and candidates of this step are linear in the nodes; the pairs it leaves out are step 4's.
 3. A candidate whose sketch (two bits of each minimum hash) is over four standard deviations below what the threshold
    implies is dropped; the others are confirmed on full sets by an integer test. Links are made into components by
    alternating large-star and small-star steps, each written to the shared folder.
-4. Where a region holds more nodes than the window and more than one component, all its pairs from different components
-   are compared: by sketch, and what passes on full sets, in pairs of blocks of CROWD_BLOCK nodes. The components so
-   linked are merged. Afterwards each pair that shares a region was compared or is in one component.
+4. Where a region holds more nodes than the window, or was cut by the end of a partition, and has more than one
+   component, all its pairs from different components are compared: by sketch, and what passes on full sets, in pairs of
+   blocks of CROWD_BLOCK nodes. The components so linked are merged. Afterwards each pair that shares a region was
+   compared or is in one component, however the rows were cut.
 
 Cases: a text without words, or null, is linked with nothing; with fewer words than a shingle the whole text is the
 one shingle; rows with equal keys count as one document; rows without a key are linked with nothing and are their own
@@ -29,19 +30,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, parallelism, written
+from .common import in_arrow, parallelism, quoted, written
 
 SHINGLE = 5
 TREES, DEPTH, LEAST_DEPTH = 16, 6, 4
 NEIGHBOURS = 12
 #: Percent that the intersection must be of the union.
 PERCENT = 85
+#: Rows of a tree that are held together, about.
+HELD_ROWS = 50_000
 #: Tasks that the edges of one node are spread over.
 SALTS = 16
 #: Nodes in one block of a crowded region; a task holds two blocks.
 CROWD_BLOCK = 1000
 #: Shingles multiplied at once when two blocks are compared.
 CROWD_SHINGLES = 2048
+#: Words whose hashes a task remembers before it starts afresh.
+REMEMBERED = 100_000
 #: Ids sent to every executor at most; more go through a shuffle.
 BROADCAST_IDS = 1_000_000
 _HASHES = TREES * DEPTH
@@ -95,7 +100,7 @@ def most_mismatches(percent: int) -> int:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, int] = {}
     for batch in batches:
-        if len(known) > 500_000:
+        if len(known) > REMEMBERED:
             known.clear()
         sizes, digests, signs, sketches = [], [], [], []
         for text in batch.column(1).to_pylist():
@@ -116,7 +121,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, int] = {}
     for batch in batches:
-        if len(known) > 500_000:
+        if len(known) > REMEMBERED:
             known.clear()
         rows = [shingle_set(x, known).view(np.int64) for x in batch.column(1).to_pylist()]
         offsets = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)
@@ -129,82 +134,63 @@ def _mismatches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1)
 
 
-def _neighbours(percent: int, borders: bool):
-    """Sorted rows (tree, order, node, sketch) to candidate pairs; with borders, also the partition's first and last rows,
-    and the members of regions that are larger than the window or may go on in another partition."""
-    limit, prefix = most_mismatches(percent), 4 * LEAST_DEPTH
+def _neighbours(percent: int):
+    """Rows (tree, order, node, sketch), sorted, to candidate pairs (a, b), and the members (region, node as a, sketch) of
+    regions that are larger than the window, or that may go on before or after the rows that were held together."""
+    limit = most_mismatches(percent)
+    names = ["a", "b", "region", "sketch"]
 
-    def pairs_of(region: np.ndarray, node: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
+    def pairs_of(region: np.ndarray, node: np.ndarray, cells: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        found = []
         for w in range(1, min(NEIGHBOURS, len(node) - 1) + 1):
             near = (region[w:] == region[:-w]) & (_mismatches(cells[w:], cells[:-w]) <= limit)
-            left.append(node[w:][near])
-            right.append(node[:-w][near])
-        start = np.append(0, np.flatnonzero(region[1:] != region[:-1]) + 1)
-        sizes = np.diff(np.append(start, len(region)))
+            found.append(np.stack([node[w:][near], node[:-w][near]], axis=1))
         for s, n in zip(start[sizes > NEIGHBOURS + 1].tolist(), sizes[sizes > NEIGHBOURS + 1].tolist(), strict=True):
             own = cells[s : s + n]
-            bits = np.unpackbits(own.view(np.uint8).reshape(n, -1), axis=1)
-            major = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > n).view(np.uint64)
+            major = np.zeros(own.shape[1], np.uint64)
+            for bit in range(64):
+                one = np.uint64(1) << np.uint64(bit)
+                major |= np.where(2 * np.count_nonzero(own & one, axis=0) > n, one, np.uint64(0))
             hub = int(np.argmin(_mismatches(own, major[None, :])))
-            near = _mismatches(own, own[hub][None, :]) <= limit
-            left.append(node[s : s + n][near])
-            right.append(np.full(int(near.sum()), node[s + hub]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        both = np.unique(np.stack([low, high], axis=1)[low != high], axis=0)
-        return both[:, 0], both[:, 1]
+            near = node[s : s + n][_mismatches(own, own[hub][None, :]) <= limit]
+            found.append(np.stack([near, np.full(len(near), node[s + hub])], axis=1))
+        both = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), np.int64)
+        return np.unique(both[both[:, 0] != both[:, 1]], axis=0)
+
+    def flushed(order: np.ndarray, node: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """order: tree and the first LEAST_DEPTH hashes of each row, as bytes."""
+        fresh = np.append(True, (order[1:] != order[:-1]).any(axis=1))
+        region, start = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        sizes = np.diff(np.append(start, len(region)))
+        both = pairs_of(region, node, sketches.view(np.uint64), start, sizes)
+        if len(both):
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.binary())], names)
+        crowded = sizes > NEIGHBOURS + 1
+        crowded[[0, -1]] = True
+        marks = np.zeros(len(sizes), np.int64)
+        for k in np.flatnonzero(crowded).tolist():
+            marks[k] = xxhash.xxh3_64_intdigest(order[start[k]].tobytes()) - 2**63
+        inside = np.flatnonzero(crowded[region])
+        for k in range(0, len(inside), 10_000):
+            at = inside[k : k + 10_000]
+            rows = pa.array([x.tobytes() for x in sketches[at]], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.nulls(len(at), pa.int64()), pa.array(marks[region[at]]), rows], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, int, bytes]] = []
-        first: list[tuple] = []
-        last: list[tuple] = []
-        names = ["a", "b", "tree", "order", "sketch", "region"]
-
-        def crowds(rows: list[tuple], region: np.ndarray) -> Iterator[pa.RecordBatch]:
-            sizes = np.bincount(region)
-            crowded = sizes > NEIGHBOURS + 1
-            crowded[[0, -1]] = True
-            inside = np.flatnonzero(crowded[region]).tolist()
-            marks: dict[int, int] = {}
-            for k in inside:
-                if region[k] not in marks:
-                    marks[region[k]] = xxhash.xxh3_64_intdigest(bytes([rows[k][0]]) + rows[k][1][:prefix]) - 2**63
-            n = len(inside)
-            columns = [pa.array([rows[k][2] for k in inside], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([rows[k][3] for k in inside], pa.binary()), pa.array([marks[region[k]] for k in inside], pa.int64())], names)
-
-        def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            ids: dict[tuple, int] = {}
-            region = np.fromiter((ids.setdefault((t, o[:prefix]), len(ids)) for t, o, _, _ in rows), np.int64, len(rows))
-            cells = np.frombuffer(b"".join(x[3] for x in rows), np.uint64).reshape(len(rows), -1)
-            a, b = pairs_of(region, np.fromiter((x[2] for x in rows), np.int64, len(rows)), cells)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.int64())], names)
-            if borders:
-                yield from crowds(rows, region)
-
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
         for batch in batches:
-            rows = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
-            if borders:
-                first += rows[: NEIGHBOURS - len(first)] if len(first) < NEIGHBOURS else []
-                last = (last + rows)[-NEIGHBOURS:]
-            held += rows
-            if len(held) > 50_000:  # up to where the last region began
-                tail = (held[-1][0], held[-1][1][:prefix])
-                k = len(held)
-                while k and (held[k - 1][0], held[k - 1][1][:prefix]) == tail:
-                    k -= 1
-                if not k and len(held) > 1_000_000:  # a region beyond any bound goes in runs that overlap
-                    yield from flush(held)
-                    held = held[-NEIGHBOURS:]
-                elif k:
-                    yield from flush(held[:k])
-                    held = held[k:]
-        if held:
-            yield from flush(held)
-        for t, o, node, s in first + last:
-            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.nulls(1, pa.int64()), pa.array([t], pa.int32()), pa.array([o], pa.binary()), pa.array([s], pa.binary()), pa.nulls(1, pa.int64())], names)
+            n = batch.num_rows
+            tree = batch.column(0).to_numpy().astype(np.uint8).reshape(n, 1)
+            hashes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1)[:, : 4 * LEAST_DEPTH]
+            held.append((np.hstack([tree, hashes]), batch.column(2).to_numpy(), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(n, -1)))
+            rows += n
+            if rows > HELD_ROWS:
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                yield from flushed(*whole)
+                held, rows = [tuple(x[-NEIGHBOURS:] for x in whole)], NEIGHBOURS
+        if rows:
+            yield from flushed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return work
 
@@ -212,18 +198,14 @@ def _neighbours(percent: int, borders: bool):
 def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a, b), a < b, of nodes that some tree puts near each other; and region, node and sketch of the
     members of regions that may be larger than the window."""
-    schema = "a long, b long, tree int, order binary, sketch binary, region long"
     width = 4 * DEPTH
     rows = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "node", "signs", "sketch").select(
         "tree", F.expr(f"substring(signs, 1 + {width} * tree, {width})").alias("order"), "node", "sketch"
     )
     parts = parallelism(nodes.sparkSession)
     ranged = rows.repartitionByRange(parts, "tree", "order").sortWithinPartitions("tree", "order", "node")
-    found = written(in_arrow(ranged, _neighbours(percent, True), schema), "candidates")
-    edges = found.where("tree is not null").selectExpr("tree", "order", "a as node", "sketch").distinct().repartition(1).sortWithinPartitions("tree", "order", "node")
-    across = in_arrow(edges, _neighbours(percent, False), schema)  # a few rows of each partition
-    pairs = found.where("b is not null").select("a", "b").unionAll(across.select("a", "b")).distinct()
-    return pairs, found.where("region is not null").select("region", F.col("a").alias("node"), "sketch")
+    found = written(in_arrow(ranged, _neighbours(percent), "a long, b long, region long, sketch binary"), "candidates")
+    return found.where("b is not null").select("a", "b").distinct(), found.where("region is not null").select("region", F.col("a").alias("node"), "sketch")
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray | list]]:
@@ -323,7 +305,7 @@ def _bridges(crowds: DataFrame, stars: DataFrame, narrow: DataFrame, percent: in
     parts = parallelism(crowds.sparkSession)
     told = crowds.join(stars.select(F.col("u").alias("node"), F.col("v").alias("smallest")), "node", "left").select("region", "node", F.coalesce("smallest", "node").alias("comp"), "sketch")
     told = written(told, "crowds")
-    several = told.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(f"n > {NEIGHBOURS + 1} and low <> high")
+    several = told.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     several = written(several.select("region", F.ceil(F.col("n") / CROWD_BLOCK).cast("int").alias("blocks")), "crowded")
     regions = several.count()
     if not regions:
@@ -367,7 +349,7 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, component_id and kept of every row."""
-    narrow = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"))
+    narrow = docs.select(F.col(quoted(key)).cast("long").alias("key"), F.col(quoted(text)).cast("string").alias("text"))
     rows = written(in_arrow(narrow, _features, "key long, n long, digest binary, signs binary, sketch binary"), "features")
     # Equal sets share a node; rows with equal keys too. Signs are functions of the digest, so any will do.
     named = rows.where("digest is not null and key is not null")
