@@ -1,14 +1,17 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-The documents of a source, in an order drawn from a seed, form one stream of words, cut into blocks of BLOCK_WORDS.
+The documents of a source, in an order drawn from a seed, form one stream of words, cut into blocks of BLOCK_WORDS; of
+tables of few words the blocks are smaller, so that LEAST_BLOCKS or so can be dealt out.
 All blocks of the mix are allocated one by one to the source with the highest quotient target / (2 * blocks held + 1),
 and the blocks of each source in the same way to its SHARDS runs of blocks. Where a shard's quota is q of n blocks,
 each block is taken q // n times, and q % n blocks at even distances from a seeded start once more. A document's share
 of the mix is what the taken blocks hold of it, so no document is taken more than twice as long as no target exceeds
 twice its source.
 
-Documents are never gathered: sizes are summed per source and hash bucket, offsets are running sums of those sums, and
-the order inside a bucket is a window over (key, size) rows alone. Only one row per source reaches the driver.
+Documents are never gathered: sizes are summed per source and range of hashes, offsets are running sums of those sums,
+and the order inside a range is a window over (key, size) rows alone. The ranges grow in number with the rows and don't
+change the order. Only one row per source reaches the driver. Shards hold MOST_BLOCKS blocks at most, so that products
+of two numbers of blocks are exact whole numbers at any size.
 
 Cases: a null or wordless text has size 0 and takes 0; null sources are one source, the last in order; repeated rows
 are documents of their own; an empty table gives an empty table; other columns are never looked at.
@@ -16,17 +19,19 @@ are documents of their own; an empty table gives an empty table; other columns a
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import n_words, quoted, written
 
-BLOCK_WORDS = 64
-SHARDS = 32
-BUCKETS = 256
+BLOCK_WORDS, LEAST_BLOCKS = 64, 4096
+SHARDS, MOST_BLOCKS = 32, 1 << 30
+#: Rows of a table for each range of hashes, and bits of a hash that tell a range at most, as a source's ranges are added up in one window.
+RANGE_ROWS, RANGE_BITS = 500, 16
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL = 1.5
 MOST = 2.0
@@ -82,56 +87,74 @@ def sainte_lague(seats: int, votes: Sequence[float], most: Sequence[int]) -> lis
     return held
 
 
-def quotas(sizes: dict, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> list[dict]:
-    """For every source its size, target, and shards: where each begins, how many blocks it has, its quota and start."""
-    import random
+def block_words(words: int) -> int:
+    """Words of one block in a table of so many words."""
+    return max(1, min(BLOCK_WORDS, words // LEAST_BLOCKS))
+
+
+def drawn(*parts: object) -> int:
+    """A number below 2**60 from the parts' text; SQL has the same."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+
+def _drawn(*parts: Column | str) -> Column:
+    """What drawn gives, of columns; nulls are left out."""
+    text = F.concat_ws(":", *((F.col(x) if isinstance(x, str) else x).cast("string") for x in parts))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
+
+def quotas(sizes: dict, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, block: int | None = None, shards: int = SHARDS, seed: int = SEED) -> list[dict]:
+    """For every source its size, target, and shards: where each begins, how many blocks it has, its quota and start."""
     order = sorted(sizes, key=lambda x: (x is None, x or ""))
     size = [sizes[x] for x in order]
+    block = block or block_words(sum(size))
     aim = targets(size, [weights[k % len(weights)] for k in range(len(order))], total * sum(size))
     blocks = [-(-n // block) for n in size]
-    seats = sainte_lague(round(sum(aim) / block), aim, [int(MOST) * n for n in blocks])
+    seats = sainte_lague(int(min(total, MOST) * sum(size) / block + 0.5), aim, [int(MOST) * n for n in blocks])
     out = []
     for k, source in enumerate(order):
-        per = max(1, -(-blocks[k] // shards))
+        per = max(1, min(MOST_BLOCKS, -(-blocks[k] // shards)))
         have = [min(per, blocks[k] - at) for at in range(0, blocks[k], per)]
         share = sainte_lague(seats[k], [float(x) for x in have], [int(MOST) * x for x in have])
-        rng = random.Random(f"{seed}:{k}:{size[k]}")
-        runs = [{"blocks": n, "base": q // n, "rest": q % n, "turn": rng.randrange(n)} for n, q in zip(have, share, strict=True)]
+        runs = [{"blocks": n, "base": q // n, "rest": q % n, "turn": drawn(seed, k, j, size[k]) % n} for j, (n, q) in enumerate(zip(have, share, strict=True))]
         done = 0
         for run, q in zip(runs, share, strict=True):
             run["before"] = done
             done += q
-        out.append({"source": source, "size": size[k], "target": aim[k], "per": per, "runs": runs})
+        out.append({"source": source, "size": size[k], "target": aim[k], "per": per, "runs": runs, "block": block})
     return out
 
 
-def _taken_before(place: F.Column, block: int) -> F.Column:
-    """Words the mix takes of the first `place` words of a source's stream."""
-    run = F.expr(f"get(runs, cast(least(floor({place} / {block} / per), size(runs) - 1) as int))")
-    local = F.expr(f"floor({place} / {block}) - cast(least(floor({place} / {block} / per), size(runs) - 1) as bigint) * per")
-    more = lambda upto: F.floor((upto + run["turn"]) * run["rest"] / run["blocks"]) - F.floor(run["turn"] * run["rest"] / run["blocks"])  # noqa: E731  extra blocks among the first `upto`
-    rest = F.expr(f"{place} % {block}")
-    return (run["before"] + local * run["base"] + more(local)) * block + rest * (run["base"] + more(local + 1) - more(local))
+def _taken_before(place: str) -> Column:
+    """Words the mix takes of the first `place` words of a source's stream, in whole numbers."""
+    at = f"least({place} div block div per, size(runs) - 1)"
+    run = f"get(runs, cast({at} as int))"
+    local = f"({place} div block - {at} * per)"
+    more = lambda upto: f"(({upto} + {run}.turn) * {run}.rest div {run}.blocks - {run}.turn * {run}.rest div {run}.blocks)"  # noqa: E731  extra blocks among the first `upto`
+    return F.expr(f"({run}.before + {local} * {run}.base + {more(local)}) * block + {place} % block * ({run}.base + {more(f'({local} + 1)')} - {more(local)})")
+
+
+def _ranges(rows: int) -> int:
+    """Bits of a hash that tell its range, for so many rows."""
+    return max(1, min(RANGE_BITS, (rows // RANGE_ROWS).bit_length()))
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, seed: int = SEED, block: int = BLOCK_WORDS) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, seed: int = SEED, block: int | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row."""
     return _shares(docs, weights, total, seed, block).drop("source")
 
 
-def _shares(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, seed: int = SEED, block: int = BLOCK_WORDS) -> DataFrame:
+def _shares(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, seed: int = SEED, block: int | None = None) -> DataFrame:
     """What mixed returns, and source."""
     spark = docs.sparkSession
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    spread = sized.withColumn("place", order).withColumn("bucket", F.pmod(F.col("place"), F.lit(BUCKETS)).cast("int"))
-    spread = written(spread, "sizes")  # the texts are read once
+    sized = written(sized.withColumn("place", _drawn(F.lit(seed), "doc_id", "size")), "sizes")  # the texts are read once
+    spread = sized.withColumn("bucket", F.shiftright("place", 60 - _ranges(sized.count())))
     sums = spread.groupBy("source", "bucket").agg(F.sum("size").alias("words")).select("source", "bucket", "words")
     per_source = {x["source"]: x["size"] for x in sums.groupBy("source").agg(F.sum("words").alias("size")).collect()}  # a row per source
     plan = quotas(per_source, weights, total, block, seed=seed)
-    schema = "of string, source_size long, target double, per long, runs array<struct<blocks: long, base: long, rest: long, turn: long, before: long>>"
-    rows = [(x["source"], x["size"], float(x["target"]), x["per"], [(r["blocks"], r["base"], r["rest"], r["turn"], r["before"]) for r in x["runs"]]) for x in plan]
+    schema = "of string, source_size long, target double, per long, block long, runs array<struct<blocks: long, base: long, rest: long, turn: long, before: long>>"
+    rows = [(x["source"], x["size"], float(x["target"]), x["per"], x["block"], [(r["blocks"], r["base"], r["rest"], r["turn"], r["before"]) for r in x["runs"]]) for x in plan]
     table = spark.createDataFrame(rows, schema)
     offsets = sums.withColumn("offset", F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select(
         F.col("source").alias("of"), F.col("bucket").alias("in"), F.coalesce("offset", F.lit(0)).alias("offset")
@@ -139,9 +162,9 @@ def _shares(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float =
     inside = Window.partitionBy("source", "bucket").orderBy("place", F.col("doc_id").asc_nulls_first(), "size")
     run = spread.withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     run = run.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in"))).drop("of", "in")
-    run = run.join(F.broadcast(table) if len(rows) <= 10_000 else table, F.col("source").eqNullSafe(F.col("of")))
-    run = run.withColumn("until", F.col("offset") + F.col("end")).withColumn("from", F.col("until") - F.col("size"))
-    taken = F.when(F.col("size") > 0, _taken_before("until", block) - _taken_before("`from`", block)).otherwise(0).cast("long")
+    run = run.join(F.broadcast(table) if sum(len(x["runs"]) + 1 for x in plan) <= 100_000 else table, F.col("source").eqNullSafe(F.col("of")))
+    run = run.withColumn("until", F.col("offset") + F.col("end")).withColumn("since", F.col("until") - F.col("size"))
+    taken = F.when(F.col("size") > 0, _taken_before("until") - _taken_before("since")).otherwise(0).cast("long")
     return run.select("source", "doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
@@ -154,12 +177,13 @@ def _copies(docs: DataFrame, **options) -> DataFrame:
     """
     seed = options.get("seed", SEED)
     every = _shares(docs, **options).where("taken > 0").groupBy("doc_id", "size").agg(F.min("source").alias("source"), F.avg(F.col("taken") / F.col("size")).alias("share"))
-    place = F.xxhash64(F.lit(seed), F.lit("copies"), "doc_id", "size")
+    place = _drawn(F.lit(f"{seed}:copies"), "doc_id", "size")
     every = every.select("doc_id", "size", "source", F.round(F.col("share") * UNIT).cast("long").alias("part"), F.floor(2 * F.log2("size")).cast("int").alias("class"), place.alias("place"))
-    every = written(every.withColumn("bucket", F.pmod("place", F.lit(BUCKETS)).cast("int")), "shares")
+    every = written(every, "shares")
+    every = every.withColumn("bucket", F.shiftright("place", 60 - _ranges(every.count())))
     sums = every.groupBy("source", "class", "bucket").agg(F.sum("part").alias("parts"))
     before = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit(""))), F.lit(UNIT))
+    start = F.pmod(_drawn(F.lit(f"{seed}:start"), F.coalesce("source", F.lit(""))), F.lit(UNIT))
     offsets = sums.select(F.col("source").alias("of"), F.col("class").alias("kind"), F.col("bucket").alias("in"), (F.coalesce(F.sum("parts").over(before), F.lit(0)) + start).alias("offset"))
     inside = Window.partitionBy("source", "class", "bucket").orderBy("place", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
     run = every.withColumn("end", F.sum("part").over(inside))
@@ -176,7 +200,7 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     every = _copies(docs, **options)
     every = written(every.select(F.struct(F.col("doc_id").alias("id"), "size").alias("of"), F.array_repeat(F.lit(0), F.col("copies")).alias("copies")), "copies")
     few = every.count() <= BROADCAST_DOCS
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    whole = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
     size = n_words(F.col("row").getField("text"))
     joined = whole.join(F.broadcast(every) if few else every, F.col("row").getField("doc_id").eqNullSafe(F.col("of.id")) & (size == F.col("of.size")))
     return joined.select("row", F.explode("copies")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
