@@ -3,12 +3,15 @@
 1. Each block of documents (a run of rows of one input partition, up to a bounded number of characters) is cut into
    pre-tokens. The block's frequencies go out inverted: one row per distinct pre-token, with the packed list of
    (document in the block, frequency).
-2. The rows are dealt by pre-token. Each task sees all rows of its pre-tokens, counts the pieces of each distinct
-   one once, and multiplies them into the frequencies, so ids are never held. Sums leave it per (block, document).
-3. Sums are dealt by block and added up.
+2. Blocks are dealt to groups by a hash, and the rows of a group by pre-token to the GROUP_TASKS tasks or so that are
+   the group's own. Each task sees all rows that its group has of its pre-tokens, counts the pieces of each distinct one
+   once, and multiplies them into the frequencies, so ids are never held. Sums leave it per (block, document).
+3. Sums are dealt by block and added up, block after block.
 
-Only packed lists of small integers travel, never texts or ids. A very frequent pre-token has one row per block, so no
-key is hot. Special strings inside a text are one token each, as the library's default has it.
+Only packed lists of small integers travel, never texts or ids. A very frequent pre-token has one row per block, and
+these rows are spread over the groups, whose number grows with the tasks: no task gets more of it than its group has
+blocks, and no block's sums come from more than its group's tasks. Special strings inside a text are one token each, as
+the library's default has it.
 
 Cases: a null text counts as empty and has 0 tokens; repeated rows and repeated or null keys are counted row by row;
 an empty table gives an empty table; other columns of the input are never looked at.
@@ -26,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, parallelism
+from .common import in_arrow, parallelism, quoted
 from .pretokens import splitter
 
 #: Characters of one block of documents, about.
 BLOCK_CHARS = 24_000_000
 #: Documents of one block at most, and the largest frequency of one entry; both fit in 16 bits.
 BLOCK_DOCS, MOST_TIMES = 50_000, 65_535
-#: Rows of pre-tokens whose frequencies a task holds before it sums them up.
-HELD_ROWS = 300_000
+#: Rows of pre-tokens whose frequencies a task holds before it sums them up, and pre-tokens whose counts it remembers.
+HELD_ROWS, REMEMBERED = 300_000, 200_000
+#: Tasks among which the pre-tokens of one group of blocks are dealt, about.
+GROUP_TASKS = 64
 
 
 @cache
@@ -157,6 +162,9 @@ def _sums(path: str):
             batch = batch.filter(batch.column(3).is_valid())
             blocks, texts = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             fresh = list(set(texts).difference(known))
+            if len(known) + len(fresh) > REMEMBERED:
+                known = dict.fromkeys(special, 1)
+                fresh = list(set(texts).difference(known))
             known.update(zip(fresh, count_pieces(path, fresh), strict=True))
             for block, text, docs, times in zip(blocks, texts, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 into = totals.setdefault(block, ([], []))
@@ -173,33 +181,39 @@ def _sums(path: str):
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All packed sums of a block, which are in one partition, to one row per document."""
-    heads: dict[int, tuple[pa.Array, pa.Array]] = {}
-    sums: dict[int, np.ndarray] = {}
+    """Packed sums in order of their blocks, all of a block in one partition, to one row per document."""
+    block, head, have = None, None, np.zeros(0, np.int64)
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        if head:
+            total = np.zeros(len(head[0]), np.int64)
+            total[: min(len(have), len(total))] = have[: len(total)]
+            yield pa.RecordBatch.from_arrays([*head, pa.array(total)], ["key", "n_bytes", "n_tokens"])
+
     for batch in batches:
-        for k, block in enumerate(batch.column(0).to_pylist()):
+        for k, now in enumerate(batch.column(0).to_pylist()):
+            if now != block:
+                yield from ended()
+                block, head, have = now, None, np.zeros(0, np.int64)
             if batch.column(1)[k].is_valid:
-                heads[block] = batch.column(1)[k].values, batch.column(2)[k].values
+                head = batch.column(1)[k].values, batch.column(2)[k].values
                 continue
             docs, more = np.frombuffer(batch.column(3)[k].as_py(), "<u2").astype(np.int64), np.frombuffer(batch.column(4)[k].as_py(), "<i8")
-            have = sums.get(block, np.zeros(0, np.int64))
             if len(have) <= docs[-1]:
-                have = sums[block] = np.append(have, np.zeros(max(docs[-1] + 1, 2 * len(have)) - len(have), np.int64))
+                have = np.append(have, np.zeros(max(docs[-1] + 1, 2 * len(have)) - len(have), np.int64))
             have[docs] += more
-    for block, (keys, sizes) in heads.items():
-        have = sums.get(block, np.zeros(0, np.int64))
-        total = np.zeros(len(keys), np.int64)
-        total[: min(len(have), len(keys))] = have[: len(keys)]
-        yield pa.RecordBatch.from_arrays([keys, sizes, pa.array(total)], ["key", "n_bytes", "n_tokens"])
+    yield from ended()
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_bytes and n_tokens of every row's whole text."""
     kind = docs.schema[key].dataType.simpleString()
     parts = parallelism(docs.sparkSession)
-    narrow = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
+    groups = max(1, parts // GROUP_TASKS)
+    narrow = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("string").alias("text"))
     rows = in_arrow(narrow, _inverted(path, pattern), f"block long, keys array<{kind}>, sizes array<long>, pretoken string, docs binary, times binary")
-    dealt = rows.repartition(parts, F.coalesce("pretoken", F.col("block").cast("string")))
-    sums = in_arrow(dealt, _sums(path), f"block long, keys array<{kind}>, sizes array<long>, docs binary, sums binary")
-    out = in_arrow(sums.repartition(parts, "block"), _gathered, f"key {kind}, n_bytes long, n_tokens long")
+    within = F.pmod(F.xxhash64(F.coalesce("pretoken", F.col("block").cast("string"))), F.lit(parts // groups))
+    task = F.pmod(F.xxhash64("block"), F.lit(groups)) * (parts // groups) + within
+    sums = in_arrow(rows.repartitionById(parts, task.cast("int")), _sums(path), f"block long, keys array<{kind}>, sizes array<long>, docs binary, sums binary")
+    out = in_arrow(sums.repartition(parts, "block").sortWithinPartitions("block"), _gathered, f"key {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("key").alias(key), "n_bytes", "n_tokens")
