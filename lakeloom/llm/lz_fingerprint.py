@@ -6,13 +6,15 @@ hashes are the fingerprint. The likeness of two fingerprints estimates the Jacca
 the smallest hashes of their union; like a compression distance it needs no words, so it fits any language or format.
 
 Cases: a null text counts as empty; an empty text has the fingerprint "" and likeness 1 to another empty one, 0 to
-the rest; equal texts have equal fingerprints; rows with equal keys follow each other by text; a single row is its
-own next; an empty table gives an empty table; other columns of the input are never looked at.
+the rest; equal texts have equal fingerprints; rows with equal keys, and rows without a key, which come first, follow
+each other by the SHA-256 of their text; keys may be of any type that has an order; a single row is its own next; an
+empty table gives an empty table; other columns of the input are never looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, parallelism
+from .common import in_arrow, parallelism, prepare, quoted
 
 #: Hashes of a fingerprint.
 SIGNATURE = 128
+#: Rows, about, whose keys and sizes tell where to cut the table into ranges.
+SAMPLE_ROWS = 20_000
+#: Characters that a row weighs besides its text.
+ROW_CHARS = 200
 
 
 def _parse(text: str, phrases: set[str]) -> int:
@@ -100,41 +106,51 @@ def _rows(key: str):
     return work
 
 
+def _place(key: object, sha: str) -> tuple:
+    return (False, sha) if key is None else (True, key, sha)
+
+
+def _cuts(sample: list[tuple], parts: int) -> list[tuple]:
+    """Places (key, SHA-256) that cut the sampled rows (key, SHA-256, weight) into ranges of about equal weight."""
+    ordered = sorted((_place(k, sha), weight) for k, sha, weight in sample)
+    total, so_far, out = sum(w for _, w in ordered), 0, []
+    for place, weight in ordered:
+        if so_far >= total * (len(out) + 1) / parts and len(out) + 1 < parts and so_far:
+            out.append(place)
+        so_far += weight
+    return out
+
+
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and likeness to the edited text and to the next row.
 
     The edited text has its last floor(n / 2) characters replaced by the first as many of the next row's text, in
-    order of key (after the last row: the first). Rows are dealt in ranges of the key; of every other range only the
-    first row is needed, and it is sent along as the range's end.
+    order of key (after the last row: the first). Rows are dealt in ranges of (key, SHA-256), a range to a task; of
+    every other range only the first row is needed, and it is sent along as the range's end.
     """
     spark = docs.sparkSession
+    prepare(spark)
     kind = docs.schema[key].dataType.simpleString()
-    narrow = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
+    body = F.col(quoted(text)).cast("string")
+    narrow = docs.select(F.col(quoted(key)).alias("key"), body.alias("text"), F.sha2(F.coalesce(body, F.lit("")), 256).alias("sha"))
     parts = parallelism(spark)
-    cuts = narrow.select(F.percentile_approx("key", [k / parts for k in range(1, parts)] or [0.5], 10_000).alias("cuts")).head()["cuts"] or []
-    edges = sorted({x for x in cuts if x is not None})
-    bucket = sum((F.coalesce(F.col("key") > F.lit(x), F.lit(False)).cast("int") for x in edges), F.lit(0)) if len(edges) <= 8 else None
-    if bucket is None:  # by halving, so that the expression stays small
-        def search(low: int, high: int):
-            if low == high:
-                return F.lit(low)
-            mid = (low + high) // 2
-            return F.when(F.col("key") > F.lit(edges[mid]), search(mid + 1, high)).otherwise(search(low, mid))
-
-        bucket = search(0, len(edges))
-    ranged = narrow.withColumn("bucket", bucket)
-    heads = ranged.groupBy("bucket").agg(F.min(F.struct("key", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))).alias("head")).orderBy("bucket").collect()  # a row a range
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+    drawn = narrow.where(F.pmod(F.xxhash64("key", "sha"), F.lit(2**31)) < int(share * 2**31)).groupBy("key", "sha").agg(F.max(F.length("text")).alias("n"))
+    cuts = _cuts([(x["key"], x["sha"], ROW_CHARS + (x["n"] or 0)) for x in drawn.collect()], parts)  # about SAMPLE_ROWS rows, repeats once
+
+    @F.arrow_udf("int")
+    def range_of(keys: pa.Array, shas: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(cuts, _place(k, s)) for k, s in zip(keys.to_pylist(), shas.to_pylist(), strict=True)], pa.int32())
+
+    ranged = narrow.withColumn("range", range_of("key", "sha"))
+    heads = ranged.groupBy("range").agg(F.min(F.struct("key", "sha")).alias("head")).orderBy("range").collect()  # a row a task
+    schema = f"{quoted(key)} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not heads:
-        return spark.createDataFrame([], f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    before = {h["bucket"]: heads[k - 1]["bucket"] for k, h in enumerate(heads)}
-    ends = spark.createDataFrame([(h["head"]["key"], h["head"]["sha"], before[h["bucket"]]) for h in heads], f"head_key {kind}, head_sha string, into int")
+        return spark.createDataFrame([], schema)
+    before = {h["range"]: heads[k - 1]["range"] for k, h in enumerate(heads)}
+    ends = spark.createDataFrame([(h["head"]["key"], h["head"]["sha"], before[h["range"]]) for h in heads], f"head_key {kind}, head_sha string, into int")
     # one copy of each range's first row, whatever repeats it has
-    again = (
-        narrow.join(F.broadcast(ends), F.col("key").eqNullSafe(F.col("head_key")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("head_sha")))
-        .groupBy("into")
-        .agg(F.first("key").alias("key"), F.first("text").alias("text"))
-    )
-    rows = ranged.select("bucket", F.lit(0).alias("last"), "key", F.lit(True).alias("own"), "text").unionAll(again.select("into", F.lit(1), "key", F.lit(False), "text"))
-    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "last", F.col("key").asc_nulls_first(), F.sha2(F.coalesce("text", F.lit("")), 256))
-    schema = f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    again = narrow.join(F.broadcast(ends), F.col("key").eqNullSafe(F.col("head_key")) & (F.col("sha") == F.col("head_sha"))).groupBy("into").agg(F.first("key").alias("key"), F.first("text").alias("text"))
+    rows = ranged.select("range", F.lit(0).alias("last"), "key", "sha", F.lit(True).alias("own"), "text").unionAll(again.select("into", F.lit(1), "key", F.lit(""), F.lit(False), "text"))
+    dealt = rows.repartitionById(parts, F.col("range")).sortWithinPartitions("range", "last", F.col("key").asc_nulls_first(), "sha")
     return in_arrow(dealt.select("key", "own", "text"), _rows(key), schema)
