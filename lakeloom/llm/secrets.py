@@ -4,7 +4,7 @@ Two first-order models over the characters of ALPHABET are counted from labelled
 running number, written in hex, base 64 and capitals with digits) and ordinary identifiers (words of a sample
 of about SAMPLE_DOCS documents, whatever the size of the table, alone and joined as identifiers are, and plain numbers). A run of at least LEAST_RUN such
 characters is a secret if the mean log-likelihood ratio of its transitions exceeds LEAST_MEAN and their sum LEAST_SUM.
-Runs that overlap a span of a fixed form are left to that form.
+Runs are looked for between the fixed forms.
 
 Spans are in characters, end exclusive. Positions come from splitting a text at a pattern's matches and adding up the
 lengths of the pieces, so no text is walked in Python.
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 #: Fixed forms, by kind in order: pattern, which group is measured, characters it needs at least.
 FORMS = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -28,10 +30,15 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: Characters that join parts of a string; transitions to and from them tell nothing.
 JOINTS = "_-="
 RUN = r"[A-Za-z0-9+/_=-]"
+#: Text of any fixed form that is long enough.
+FIXED = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}|AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}"""
 LEAST_RUN = 16
 LEAST_MEAN, LEAST_SUM = 1.8, 25.0
-SAMPLE_DOCS = 1000
+#: Of the models' sample: documents, about; words of each, so that a long one doesn't outweigh the rest; strings of each random kind.
+SAMPLE_DOCS, SAMPLE_WORDS = 1000, 400
 SAMPLE_STRINGS = 3000
+#: Matches that are folded into spans at once: folding copies what it has, so long lists go in runs.
+FOLDED = 128
 _SIDE = len(ALPHABET) + 1
 
 
@@ -56,12 +63,12 @@ def labelled_samples(docs: DataFrame, text: str = "text", key: str = "doc_id") -
         F.explode(F.array(F.substr(digest, F.lit(1), size), F.substr(base64, F.lit(1), size), F.substr(F.regexp_replace(F.upper(F.substr(base64, F.lit(30))), "[+/]", "7"), F.lit(1), size))).alias("token")
     )
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))  # by a hash of key and text, so nothing is sorted or gathered; repeats count once
-    hashed = docs.select(F.xxhash64(docs[key], docs[text]).alias("h"), docs[text].cast("string").alias("text")).where("text is not null")
+    hashed = docs.select(F.xxhash64(F.col(quoted(key)), F.col(quoted(text))).alias("h"), F.col(quoted(text)).cast("string").alias("text")).where("text is not null")
     sample = hashed.where(F.pmod("h", F.lit(2**31)) < int(share * 2**31)).dropDuplicates(["h"])
     words = F.filter(F.split("text", r"[^\p{L}\p{Nd}]+"), lambda w: (F.length(w) > 0) & ~w.rlike("[0-9a-f]{16}|AKIA[A-Z0-9]{14}"))
-    words = F.slice(words, 1, 400)  # of a training text, so that a long one doesn't outweigh the rest
-    pairs = F.zip_with(words, F.slice(words, 2, 400), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit("_"), b)))
-    camel = F.zip_with(words, F.slice(words, 2, 400), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.initcap(b))))
+    words = F.slice(words, 1, SAMPLE_WORDS)
+    pairs = F.zip_with(words, F.slice(words, 2, SAMPLE_WORDS), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit("_"), b)))
+    camel = F.zip_with(words, F.slice(words, 2, SAMPLE_WORDS), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.initcap(b))))
     upper = F.transform(pairs, lambda x: F.upper(F.regexp_replace(x, "_", "-")))
     plain = sample.select(F.explode(F.concat(words, words, pairs, camel, upper)).alias("token"))
     numbers = spark.range(SAMPLE_STRINGS).select(F.format_string("%d", F.pmod(F.xxhash64("id"), F.pow(F.lit(10), 2 + F.col("id") % 15).cast("long"))).alias("token"))
@@ -85,26 +92,52 @@ def train(samples: DataFrame) -> list[float]:
     return [0.0 if {k // _SIDE, k % _SIDE} & joints else x for k, x in enumerate(table)]
 
 
+_SPANS = "array<struct<from: bigint, order: int, until: bigint, kind: string, found: string>>"
+
+
+def _folded(pairs: Column, empty: str, one) -> Column:
+    """Of matches m and the gaps before them: what one(start, end, match, gap) gives for each, in order; start and end are the match's."""
+    # A one-element array binds the matches, else each run would search the text anew.
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / FOLDED).cast("int")), lambda k: F.slice(all_, k * FOLDED + 1, F.lit(FOLDED)))
+    runs = F.transform(F.array(pairs), cut)[0]
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["m"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one(start, end, x["m"], x["gap"]))).alias("out"))
+
+    def run(acc: Column, pairs_: Column) -> Column:
+        inner = F.aggregate(pairs_, F.struct(acc["at"].alias("at"), F.array().cast(empty).alias("out")), step)
+        return F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))[0]
+
+    return F.aggregate(runs, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{empty}>").alias("out")), run, lambda acc: F.flatten(acc["out"]))
+
+
+def _pairs(text: Column, pattern: str) -> Column:
+    """The matches m of a pattern, each with the gap before it; the last gap has an empty match."""
+    found = F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
+    return F.zip_with(found, F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
+
+
 def _spans(text: Column, kind: str, order: int, pattern: str, group: int = 0, least: int = 0) -> Column:
     """Structs (from, order, until, kind, found) of the matches of a pattern whose group has at least so many characters."""
-    empty = "array<struct<from: bigint, order: int, until: bigint, kind: string, found: string>>"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    walked = F.aggregate(
-        F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap"))),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(empty).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + x["gap"]).alias("from"), F.lit(order).alias("order"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("until"), F.lit(kind).alias("kind"), x["m"].alias("found"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    one = lambda start, end, m, _: F.struct(start.alias("from"), F.lit(order).alias("order"), end.alias("until"), F.lit(kind).alias("kind"), m.alias("found"))
+    walked = F.filter(_folded(_pairs(text, pattern), _SPANS, one), lambda s: s["found"] != "")
     if group:
         walked = F.filter(walked, lambda s: F.length(F.regexp_extract(s["found"], pattern, group)) >= least)
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(empty))
+    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(_SPANS))
+
+
+def _between(text: Column) -> Column:
+    """The runs of the text between the fixed forms, as _spans has them."""
+    pattern = RUN + "{%d,}" % LEAST_RUN
+    gaps = _folded(_pairs(text, FIXED), "array<struct<at: bigint, text: string>>", lambda start, _, __, gap: F.struct((start - F.length(gap)).alias("at"), gap.alias("text")))
+    moved = lambda gap: F.transform(
+        _spans(gap["text"], "markov", len(FORMS), pattern),
+        lambda s: F.struct((s["from"] + gap["at"]).alias("from"), s["order"].alias("order"), (s["until"] + gap["at"]).alias("until"), s["kind"].alias("kind"), s["found"].alias("found")),
+    )
+    inside = F.flatten(F.transform(F.filter(gaps, lambda g: F.length(g["text"]) >= LEAST_RUN), moved))
+    return F.when(~text.rlike(pattern), F.array().cast(_SPANS)).when(text.rlike(FIXED), inside).otherwise(_spans(text, "markov", len(FORMS), pattern))
 
 
 def _listed(spans: Column) -> Column:
@@ -113,18 +146,17 @@ def _listed(spans: Column) -> Column:
 
 def scanned(docs: DataFrame, table: list[float], text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, base (array of spans of the fixed forms) and spans (those and the model's) of every row."""
-    whole = F.coalesce(docs[text].cast("string"), F.lit(""))
+    whole = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
     ratios = F.split(F.lit(",".join(f"{x:.5f}" for x in table)), ",").cast("array<double>")
-    step = docs.select(docs[key].alias("key"), whole.alias("text"))
-    step = step.select("key", "text", F.array_sort(F.concat(*(_spans(F.col("text"), kind, k, pattern, group, least) for k, (kind, pattern, group, least) in enumerate(FORMS)))).alias("base"))
-    step = step.select("key", "base", _spans(F.col("text"), "markov", len(FORMS), RUN + "{%d,}" % LEAST_RUN).alias("runs"))
+    step = docs.select(F.col(quoted(key)).alias("key"), whole.alias("text"))
+    step = step.select("key", "text", F.sort_array(F.concat(*(_spans(F.col("text"), kind, k, pattern, group, least) for k, (kind, pattern, group, least) in enumerate(FORMS)))).alias("base"))
+    step = step.select("key", "base", _between(F.col("text")).alias("runs"))
 
     def random(s: Column) -> Column:
         score = F.aggregate(_transitions(s["found"]), F.lit(0.0), lambda total, cell: total + F.get(ratios, cell))
         return (score >= LEAST_SUM) & (score >= LEAST_MEAN * (F.length(s["found"]) - 1))
 
-    fresh = F.filter(F.filter("runs", lambda s: ~F.exists("base", lambda b: (b["from"] < s["until"]) & (s["from"] < b["until"]))), random)
-    return step.select(F.col("key").alias(key), "base", F.array_sort(F.concat("base", fresh)).alias("spans"))
+    return step.select(F.col("key").alias(key), "base", F.sort_array(F.concat("base", F.filter("runs", random))).alias("spans"))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
