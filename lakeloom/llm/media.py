@@ -19,8 +19,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import in_arrow
+from .common import in_arrow, quoted
 
 WIDTH = 192
 #: Fixed values of the PNG format.
@@ -124,14 +125,14 @@ def low_frequency_hash(rows: np.ndarray, side: int = 32, keep: int = 8) -> str:
 
 def with_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_bytes and media: the PNG of every row's whole text."""
-    narrow = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
+    narrow = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("string").alias("text"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = [(x or "").encode() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raws), pa.int64()), pa.array([png(padded(x)) for x in raws], pa.binary())], [key, "n_bytes", "media"])
 
-    return in_arrow(narrow, store, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
+    return in_arrow(narrow, store, f"{quoted(key)} {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def read_media(stored: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -157,5 +158,5 @@ def read_media(stored: DataFrame, key: str = "doc_id") -> DataFrame:
                 [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    narrow = stored.select(stored[key].alias("key"), "n_bytes", "media")
-    return in_arrow(narrow, read, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    narrow = stored.select(F.col(quoted(key)).alias("key"), "n_bytes", "media")
+    return in_arrow(narrow, read, f"{quoted(key)} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

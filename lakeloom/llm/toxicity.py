@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow
+from .common import in_arrow, quoted
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 WINDOW = 2
 #: Characters of a word; longer ones are taken as runs that overlap by half.
 MOST_CHARS = 40
+#: Words whose numbers a task remembers before it starts afresh.
+REMEMBERED = 100_000
 SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 5_000_000
 #: Rounds of picking windows, gradient steps in each, and their rate.
@@ -208,7 +210,7 @@ def _score(model: Model, names: list[str]):
                 for w in set(row).difference(known):
                     known[w] = model.word(w)
                 out.append(model.probability(model.logit(np.fromiter(map(known.__getitem__, row), float, len(row)))))
-            if len(known) > 500_000:
+            if len(known) > REMEMBERED:
                 known.clear()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names)
 
@@ -217,8 +219,8 @@ def _score(model: Model, names: list[str]):
 
 def scored(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and score of every row."""
-    narrow = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-    return in_arrow(narrow, _score(model, [key, "score"]), f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
+    narrow = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("string").alias("text"))
+    return in_arrow(narrow, _score(model, [key, "score"]), f"{quoted(key)} {docs.schema[key].dataType.simpleString()}, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
