@@ -1,5 +1,9 @@
 """A training corpus from raw documents: toxic ones go, one of each group of near copies stays, personal data is replaced,
-sources are mixed to their weights, and what is left is encoded."""
+sources are mixed to their weights, and what is left is encoded.
+
+Cases: null and empty texts are clean, nobody's copies, and have no words to mix, so the mix leaves them out; without
+labels of both classes no text counts as toxic; rows with equal doc_id are one document to near-duplicate detection;
+null sources are a source; an empty table gives an empty table; other columns stay, whatever their names."""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import byte_bpe, mixing, near_dedup, surrogates, toxicity
 from lakeloom.llm.common import documents, written
-from lakeloom.llm.queries import TIKTOKEN_FILE, _tokenizer, toxicity_model
+from lakeloom.llm.queries import TIKTOKEN_FILE, _tokenizer, surrogate_key, toxicity_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +24,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = surrogates.pseudonymised(docs)
+    done = surrogates.pseudonymised(docs, surrogate_key(spark))
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
