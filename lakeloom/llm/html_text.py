@@ -1,15 +1,16 @@
 """Main text of web pages by equivalence-class template deduction.
 
 1. Every page is walked once. Its tokens are its elements, told apart by their path from the root (tag, role, class and
-   id of each step), and its runs of text, told apart by element and content. A token's occurrence vector is the number
+   id of each step, or place among its like for divisions and lists without any), and its runs of text, told apart by
+   element and content. A token's occurrence vector is the number
    of times it occurs on each page of the host; it is kept as the exclusive or of a hash of (page, count) over the pages,
    which merges in any order, so a host of any size is aggregated without being gathered.
 2. Tokens of a host with one occurrence vector form an equivalence class. The class of the page's root, and classes of
    two or more tokens that enough of the host's pages have, are valid if they nest: all their outermost elements lie in
    slots of one class that is in the template already. Valid classes, the most frequent first, make the host's template.
-3. A run of text in a valid class belongs to the template where its element never comes without it (same vector), or
-   never holds any other text. All other text is in slots; every template element knows how much varying text its slot
-   holds over the host's pages, and how much of that is links.
+3. A run of text in a valid class belongs to the template; that of a heading, paragraph, list or table cell only where
+   its element never comes without it (same vector), or never holds any other text. All other text is in slots; every
+   template element knows how much varying text its slot holds over the host's pages, and how much of that is links.
 4. A page's main slot is found by descending from the root into the template element that holds nearly all of the
    varying text, as long as what is left behind holds no heading or paragraph. An element that says it is the article
    (by tag or role) is taken first. All text of the slot is returned, as blocks, less the template's text and less
@@ -60,6 +61,8 @@ SCOPES = frozenset("p li td th dd dt tr option ul ol dl table button article sec
 ENDS_ITSELF = frozenset("li td th tr dd dt option".split())
 #: Elements that hold an article's own sentences.
 CONTENT = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dd dt td th figcaption caption".split())
+#: Elements that are told apart by their place among their like, up to MOST_PLACES, if nothing names them.
+PLACED, MOST_PLACES = frozenset("div section ul ol table".split()), 9
 TELLING = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 RAW = frozenset(["script", "style", "noscript", "template", "iframe", "svg", "textarea", "title"])
 DROPPED_TAGS = RAW | frozenset(["head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "object", "canvas", "audio", "video", "search"])
@@ -116,10 +119,10 @@ class Step:
 class Element:
     """An element path of a page: its parent, what its tag says, how often it occurs, and the characters of text and of links below it and of its own, without what is dropped."""
 
-    __slots__ = ("parent", "step", "count", "chars", "links", "own", "kept")
+    __slots__ = ("parent", "step", "label", "count", "chars", "links", "own", "kept")
 
-    def __init__(self, parent: int, step: Step | None):
-        self.parent, self.step, self.count, self.chars, self.links, self.own, self.kept = parent, step, 0, 0, 0, 0, False
+    def __init__(self, parent: int, step: Step | None, label: str = ""):
+        self.parent, self.step, self.label, self.count, self.chars, self.links, self.own, self.kept = parent, step, label, 0, 0, 0, 0, False
 
 
 class Page:
@@ -149,17 +152,18 @@ class Page:
                 found.add(token)
         return found
 
-    def told(self) -> set[int]:
-        """The tokens of headings and paragraphs and of all elements in them."""
+    def inside(self, tags: frozenset[str]) -> set[int]:
+        """The tokens of elements with such tags and of all elements in them."""
         found: set[int] = set()
         for token, e in self.elements.items():
-            if e.step and (e.step.tag in TELLING or e.parent in found):
+            if e.step and (e.step.tag in tags or e.parent in found):
                 found.add(token)
         return found
 
     def _walk(self, html: str) -> None:
         # Of each open element: tag, token, how far it is dropped (3: by the name of a wrapper only), if it is in the article, doubt.
         stack: list[tuple[str, int, int, bool, int]] = [("", ROOT, 0, False, 0)]
+        places: list[dict[str, int]] = [{}]
         scopes: list[int] = []
         open_: Counter[str] = Counter()
         pieces: list[str] = []
@@ -189,6 +193,7 @@ class Page:
             for x in stack[k:]:
                 open_[x[0]] -= 1
             del stack[k:]
+            del places[k:]
             while scopes and scopes[-1] >= k:
                 scopes.pop()
 
@@ -234,7 +239,11 @@ class Page:
             if step is None:
                 step = steps[tag, attributes] = Step(tag, attributes)
             _, parent, above, inside, doubt = stack[-1]
-            token = xxhash.xxh3_64_intdigest(step.label.encode("utf-8", "replace"), parent & 0xFFFFFFFFFFFFFFFF) - 2**63 or 1
+            label = step.label
+            if tag in PLACED and label == tag:
+                places[-1][tag] = place = places[-1].get(tag, 0) + 1
+                label = f"{tag}[{min(place, MOST_PLACES)}]"
+            token = xxhash.xxh3_64_intdigest(label.encode("utf-8", "replace"), parent & 0xFFFFFFFFFFFFFFFF) - 2**63 or 1
             dropped = step.dropped
             if not dropped and step.header and not (inside or step.main):
                 dropped = 1
@@ -248,13 +257,14 @@ class Page:
                 dropped = 1 if above == 1 and not dropped else 3
             e = elements.get(token)
             if e is None:
-                e = elements[token] = Element(parent, step)
+                e = elements[token] = Element(parent, step, label)
             e.count += 1
             e.kept = e.kept or dropped < 2
             if tag in SCOPES:
                 scopes.append(len(stack))
             open_[tag] += 1
             stack.append((tag, token, dropped, inside or step.main, doubt))
+            places.append({})
         end_block()
 
 
@@ -291,7 +301,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host, name, page = host_of(url), f"{key}\0{url}\0", Page(html)
             whole = xxhash.xxh3_64_intdigest((html or "").encode("utf-8", "replace")) - 2**63
             for token, e in page.elements.items():
-                count((host, token, e.parent, e.step.label if e.step else ""), name, whole, e.count, e.chars, e.own, e.links)
+                count((host, token, e.parent, e.label), name, whole, e.count, e.chars, e.own, e.links)
             texts = Counter((b[0], b[3]) for b in page.blocks if b[1] < 2)
             sizes = {b[3]: len(b[4]) for b in page.blocks}
             for (parent, token), times in texts.items():
@@ -349,11 +359,24 @@ def deduced(tokens: list[dict]) -> tuple[list[list[dict]], set[int], dict[int, t
     for t in texts:
         if (e := by_token.get(t["parent"])) and t["pages"] == e["pages"]:
             steady[t["parent"]] += t["chars"]
+    sentences: dict[int, bool] = {ROOT: False}
+
+    def in_sentences(token: int) -> bool:
+        """Whether an element is, or is in, a heading, paragraph, list or table cell."""
+        way = []
+        while token not in sentences:
+            way.append(token)
+            token = parent.get(token, ROOT)
+        known = sentences[token]
+        for token in reversed(way):
+            known = sentences[token] = known or re.split(r"[@.#[]", by_token[token]["label"])[0] in CONTENT
+        return known
+
     fixed = set()
     varying = {token: by_token[token]["chars"] for token in class_of}
     for t in texts:
         e = by_token.get(t["parent"])
-        if e and (e["vector"] == t["vector"] or steady[t["parent"]] == e["own"] and t["pages"] == e["pages"]):
+        if e and (e["vector"] == t["vector"] or steady[t["parent"]] == e["own"] and t["pages"] == e["pages"] or not in_sentences(t["parent"])):
             fixed.add(t["token"])
             at = t["parent"]
             while True:
@@ -433,7 +456,7 @@ def _main_slot(page: Page, template: Template) -> tuple[int, bool]:
         if anchor[token] == token and e.kept and e.chars:
             inner[above].append(token)
     now = ROOT
-    told = page.told()
+    told = page.inside(TELLING)
     while inner[now]:
         child = max(inner[now], key=lambda t: template.text_per_page(t, page)[1])
         if elements[child].chars < elements[now].chars:  # else nothing is left behind
@@ -459,10 +482,11 @@ def main_text(html: str | None, template: Template = Template()) -> str:  # noqa
     menus = {d for d in doubts if 2 * page.elements[d].links >= page.elements[d].chars}
     blocks = [b for b in blocks if b[2] not in menus]
     if says_so:
-        kept = [b for b in blocks if b[3] not in template.fixed or b[0] != ROOT and page.elements[b[0]].step.tag in CONTENT]
+        sentences = page.inside(CONTENT)
+        kept = [b for b in blocks if b[3] not in template.fixed or b[0] in sentences]
     else:
         whole = template.text_per_page(slot, page)[0]
-        told, lists = page.told(), set()
+        told, lists = page.inside(TELLING), set()
         for token, e in page.elements.items():
             if token in inside and token != slot and e.parent in lists:
                 lists.add(token)
