@@ -3,18 +3,18 @@
 import base64
 import collections
 import hashlib
-import math
 
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lakeloom.llm import mixing, surrogates
 from lakeloom.llm.common import documents
-from lakeloom.llm.queries import toxicity_model
+from lakeloom.llm.queries import surrogate_key, toxicity_model
 
-from .test_documents import WORD, brute_components
+from .test_documents import WORD, brute_components, brute_copies, brute_mix
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,15 +32,11 @@ def test_pipeline(spark):
     texts = {k: r for k, r in texts.items() if score(r.text) < 0.7}
     keep = brute_components([(k, r.text) for k, r in texts.items()])
     texts = {k: r for k, r in texts.items() if keep[k][1] == k}
-    clean = {}
-    for k, r in texts.items():
-        forms = {(kind.split(":")[0], c): surrogates.surrogate(kind, c, 0) for _, _, kind, c in surrogates.mentions(r.text)}
-        clean[k] = surrogates.replaced(r.text, forms)[0]
-    rows = [(k, clean[k], r.lang, r.source, len(clean[k])) for k, r in texts.items()]
-    frame = spark.createDataFrame(rows, docs.schema)
-    copies = {}
-    for r in mixing.mixed(frame).collect():
-        copies[r.doc_id] = math.floor(r.taken / r.size + 0.5) if r.size else 0
+    clean = {k: surrogates.replaced(r.text, lambda kind, c: surrogates.surrogate(kind, c, 0, surrogate_key(spark)))[0] for k, r in texts.items()}
+    rows = [(k, clean[k], r.source) for k, r in texts.items()]
+    sizes = {k: len(WORD.findall(clean[k])) for k in clean}
+    taken, _ = brute_mix(rows, mixing.block_words(sum(sizes.values())))
+    copies = brute_copies([(k, sizes[k], source, n) for (k, _, source), n in zip(rows, taken, strict=True)])
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = collections.Counter()
@@ -56,3 +52,12 @@ def test_stages_keep_the_columns_of_documents(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near copies", "personal data", "mixing", "encoding"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).schema.simpleString() == docs.schema.simpleString()
+
+
+def test_stages_on_odd_tables(spark, empty, docs):
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("my col", F.lit("x")).withColumn("a.b", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns and out.count() > 0, name
+        assert stage(spark, empty, SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() == odd.count()
