@@ -30,27 +30,48 @@ def window_groups_frame(t):
     return out.select("l_orderkey", "l_linenumber", "s")
 
 
-for _name, _what, _text in (("current_row", "current row", "CURRENT ROW"), ("group", "group", "GROUP"), ("ties", "ties", "TIES")):
-    query(
-        f"SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER w, 2) AS s, CAST(count(l_quantity) OVER w AS BIGINT) AS c, round(avg(l_quantity) OVER w, 6) AS a FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE {_text})",
-        name=f"window_exclude_{_name}",
-    )(
-        lambda t, what=_what: t.lineitem.select(
-            "l_orderkey", "l_linenumber", F.round(windows.exclude(["l_suppkey"], ["l_shipdate"], "l_quantity", what), 2).alias("s"),
-            windows.exclude(["l_suppkey"], ["l_shipdate"], "l_quantity", what, "count").alias("c"), F.round(windows.exclude(["l_suppkey"], ["l_shipdate"], "l_quantity", what, "avg"), 6).alias("a"),
+_FIRST, _LAST = W.unboundedPreceding, W.unboundedFollowing
+_FRAMES = {
+    "range_running": ("RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", ("range", _FIRST, 0), "l_shipdate"),
+    "range_before": ("RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING", ("range", -2, -1), "l_quantity"),
+    "range_around": ("RANGE BETWEEN 3 PRECEDING AND 2 FOLLOWING", ("range", -3, 2), "l_linenumber"),
+    "rows_running": ("ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING", ("rows", _FIRST, _LAST), "l_shipdate"),
+    "groups_around": ("GROUPS BETWEEN 1 PRECEDING AND 2 FOLLOWING", ("groups", -1, 2), "l_shipdate"),
+    "groups_after": ("GROUPS BETWEEN 1 FOLLOWING AND 3 FOLLOWING", ("groups", 1, 3), "l_shipdate"),
+}
+for _frame, (_text, _of, _order) in _FRAMES.items():
+    for _what in ("current row", "group", "ties"):
+        query(
+            f"SELECT l_orderkey, l_linenumber, round(sum(l_tax) OVER w, 4) AS s, CAST(count(l_tax) OVER w AS BIGINT) AS c, round(avg(l_tax) OVER w, 10) AS a, min(l_extendedprice) OVER w AS lo, max(l_extendedprice) OVER w AS hi FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY {_order} {_text} EXCLUDE {_what.upper()})",
+            name=f"window_exclude_{_frame}_{_what.replace(' ', '_')}",
+        )(
+            lambda t, what=_what, frame=_of, order=_order: windows.excluding(t.lineitem, ["l_suppkey"], order, what, frame, s=("sum", "l_tax"), c=("count", "l_tax"), a=("avg", "l_tax"), lo=("min", "l_extendedprice"), hi=("max", "l_extendedprice")).select(
+                "l_orderkey", "l_linenumber", F.round("s", 4).alias("s"), "c", F.round("a", 10).alias("a"), "lo", "hi"
+            )
         )
-    )
 
 
-@query("SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS m FROM orders")
-def window_exclude_max(t):
-    return t.orders.select("o_orderkey", windows.exclude_extreme(["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", (-2, 2)).alias("m"))
+@query("SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS m, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE GROUP), 2) AS g FROM orders")
+def window_exclude_rows(t):
+    frame = ("rows", -2, 2)
+    out = windows.excluding(t.orders, ["o_custkey"], "o_orderkey", "current row", frame, m=("max", "o_totalprice"))
+    return windows.excluding(out, ["o_custkey"], "o_orderkey", "group", frame, g=("sum", "o_totalprice")).select("o_orderkey", "m", F.round("g", 2).alias("g"))
 
 
 @query("SELECT o_orderkey, CAST(count(DISTINCT o_orderstatus) OVER (PARTITION BY o_custkey) AS BIGINT) AS c, round(CAST(sum(DISTINCT o_orderkey % 5) OVER (PARTITION BY o_custkey) AS DOUBLE), 2) AS s FROM orders")
 def window_distinct(t):
-    w = W.partitionBy("o_custkey")
-    return t.orders.select("o_orderkey", windows.distinct_over("count", F.col("o_orderstatus"), w).alias("c"), F.round(windows.distinct_over("sum", F.col("o_orderkey") % 5, w), 2).alias("s"))
+    return windows.distinct_running(t.orders, ["o_custkey"], c=("count", F.col("o_orderstatus")), s=("sum", F.col("o_orderkey") % 5)).select("o_orderkey", "c", F.round("s", 2).alias("s"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(count(DISTINCT l_quantity) OVER w AS BIGINT) AS c, round(avg(DISTINCT l_quantity) OVER w, 6) AS a FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate)")
+def window_distinct_running(t):
+    return windows.distinct_running(t.lineitem, ["l_suppkey"], ["l_shipdate"], c=("count", F.col("l_quantity")), a=("avg", F.col("l_quantity"))).select("l_orderkey", "l_linenumber", "c", F.round("a", 6).alias("a"))
+
+
+@query("SELECT o_orderkey, CAST(count(DISTINCT o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS BIGINT) AS c FROM orders")
+def window_distinct_rows(t):
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(-3, 0)
+    return t.orders.select("o_orderkey", windows.distinct_over("count", F.col("o_orderstatus"), w).alias("c"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL")
