@@ -1,13 +1,22 @@
-"""Full-text search by BM25, as joins and aggregates over postings."""
+"""Full-text search by BM25: over an index of written postings, or over the texts themselves."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .plans.materialize import shared_dir
+
 K1, B = 1.2, 0.75
 #: Words left out of the index.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
+STOP_WORDS = (
+    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with "
+    "about after all also am been before between both can could did do does each from had has have he her here him his how "
+    "i its just may me more most my nor only other our out over own same she should so some still than them those through "
+    "too under up very we were what when where which while who whom why would you your"
+).split()
 
 
 def tokens(text: str):
@@ -16,31 +25,77 @@ def tokens(text: str):
     return F.filter(words, lambda w: (w != "") & ~w.isin(STOP_WORDS))
 
 
+def terms_of(query: str) -> list[str]:
+    """The distinct tokens of a query, by the rule of tokens()."""
+    kept = (c if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd" else " " for c in query.lower())
+    return sorted(set("".join(kept).split()).difference(STOP_WORDS))
+
+
 def _equals(term: str):
     return lambda w: w == term
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, size): a document's terms with their counts and its length; build once and write it to search often."""
+    """(key, term, tf, size): a document's terms with their counts and its length."""
     listed = docs.select(F.col(key).alias("key"), tokens(text).alias("words")).withColumn("size", F.size("words"))
-    return listed.select("key", "size", F.explode("words").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
+    counted = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), (F.size("words") - F.size(F.array_remove("words", w))).alias("tf")))
+    return listed.select("key", "size", F.inline(counted)).select("key", "term", "tf", "size")
+
+
+def _weight(n: Column, df: Column, tf: Column, size: Column, mean: Column) -> Column:
+    return F.ln((n - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
+
+class Index:
+    """Postings of a table, written in order of their terms, so that a search reads the row groups of its terms alone."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self.path = spark, path
+        totals = spark.read.parquet(f"{path}/totals").head()  # one row
+        self.documents, self.mean = totals["documents"], totals["mean"]
+
+    @classmethod
+    def create(cls, docs: DataFrame, key: str, text: str, name: str, overwrite: bool = False) -> Index:
+        """Build the index of a text column in the shared folder, under a name."""
+        spark = docs.sparkSession
+        path = f"{shared_dir(spark).rstrip('/')}/fts-{name}"
+        mode = "overwrite" if overwrite else "error"
+        sizes = docs.agg(F.count(F.lit(1)).alias("documents"), F.avg(F.coalesce(F.size(tokens(text)), F.lit(0))).alias("mean"))
+        found = postings(docs, key, text)
+        # A frequent term has as many rows as documents: ranges of (term, key) spread it over tasks and files.
+        ranged = found.repartitionByRange("term", "key").sortWithinPartitions("term", "key")
+        ranged.write.mode(mode).option("parquet.block.size", str(4 << 20)).parquet(f"{path}/postings")
+        sizes.write.mode(mode).parquet(f"{path}/totals")
+        return cls(spark, path)
+
+    def drop(self) -> None:
+        jvm = self._spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def search(self, query: str, limit: int | None = None) -> DataFrame:
+        """key and score of the documents that hold a term of the query; with a limit the best, then by key."""
+        terms = terms_of(query)
+        found = self._spark.read.parquet(f"{self.path}/postings").where(F.col("term").isin(terms) if terms else F.lit(False))
+        frequencies = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the query
+        weight = _weight(F.lit(self.documents), F.col("df"), F.col("tf"), F.col("size"), F.lit(self.mean))
+        out = found.join(F.broadcast(frequencies), "term").groupBy("key").agg(F.sum(weight).alias("score"))
+        return out.orderBy(F.col("score").desc(), "key").limit(limit) if limit else out
 
 
 def search(docs: DataFrame, key: str, text: str, query: str, limit: int | None = None) -> DataFrame:
-    """key and score of the documents that hold a term of the query, best first, then by key.
+    """key and score as Index.search gives them, without an index: for a table that is searched once.
 
     Only the query's terms are counted, by array functions in the scan's stage, so no text or posting is shuffled.
     """
-    import re
-
-    terms = sorted({w for w in re.split(r"[^\w]+|_", query.lower()) if w and w not in STOP_WORDS})
+    terms = terms_of(query)
     if not terms:
         return docs.select(F.col(key).alias("key"), F.lit(0.0).alias("score")).limit(0)
     counted = docs.select(F.col(key).alias("key"), tokens(text).alias("words")).select(
-        "key", F.size("words").alias("size"), *(F.size(F.filter("words", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms))
+        "key", F.coalesce(F.size("words"), F.lit(0)).alias("size"), *(F.size(F.filter("words", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms))
     )
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     joined = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
-    part = lambda i: F.ln((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    out = joined.select("key", sum((part(i) for i in range(len(terms))), F.lit(0.0)).alias("score"))
+    parts = (_weight(F.col("n"), F.col(f"df{i}"), F.col(f"tf{i}"), F.col("size"), F.col("mean")) for i in range(len(terms)))
+    out = joined.select("key", sum(parts, F.lit(0.0)).alias("score"))
     return out.orderBy(F.col("score").desc(), "key").limit(limit) if limit else out

@@ -26,8 +26,56 @@ def list_distinct(x: Column) -> Column:
 
 
 def list_sort(x: Column, descending: bool = False) -> Column:
-    """Nulls first ascending, last descending."""
-    return F.sort_array(x, asc=not descending)
+    """Nulls last."""
+    return F.sort_array(x, asc=False) if descending else F.array_sort(x)
+
+
+def list_reverse_sort(x: Column) -> Column:
+    return list_sort(x, descending=True)
+
+
+def list_prepend(value: Column, x: Column) -> Column:
+    return F.array_prepend(x, value)
+
+
+def struct_pack(**members: Column) -> Column:
+    return F.struct(*(v.alias(k) for k, v in members.items()))
+
+
+def struct_extract(x: Column, member: str) -> Column:
+    return x.getField(member)
+
+
+def struct_keys(x: Column) -> Column:
+    return F.json_object_keys(F.to_json(x, {"ignoreNullFields": "false"}))
+
+
+def struct_insert(x: Column, **members: Column) -> Column:
+    for name, value in members.items():
+        x = x.withField(name, value)
+    return x
+
+
+def map_(keys: Column, values: Column) -> Column:
+    return F.map_from_arrays(keys, values)
+
+
+def map_extract(m: Column, key: Column) -> Column:
+    """A list of the key's value, empty if the key is absent."""
+    return F.map_values(F.map_filter(m, lambda k, _: k == key))
+
+
+def enum_range(kind) -> Column:
+    """All values of an Enumeration, in order."""
+    return F.array(*map(F.lit, kind.values))
+
+
+def enum_first(kind) -> Column:
+    return F.lit(kind.values[0])
+
+
+def enum_last(kind) -> Column:
+    return F.lit(kind.values[-1])
 
 
 def list_reduce(x: Column, f: Callable[[Column, Column], Column]) -> Column:
@@ -110,17 +158,29 @@ def json_quote(x: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
 
 
-def json_contains(x: Column, part: Column) -> Column:
-    """Whether a JSON text holds another: equal scalars, arrays and objects as subsets."""
-    def holds(a, b) -> bool:
-        if isinstance(b, dict):
-            return isinstance(a, dict) and all(k in a and holds(a[k], v) for k, v in b.items())
-        if isinstance(b, list):
-            return isinstance(a, list) and all(any(holds(y, v) for y in a) for v in b)
-        return (any(holds(y, b) for y in a) if isinstance(a, list) else a == b) if not isinstance(a, dict) else False
+def _holds(a, b) -> bool:
+    """Whether a JSON value holds another: equal scalars, arrays and objects as subsets."""
+    if isinstance(b, dict):
+        return isinstance(a, dict) and all(k in a and _holds(a[k], v) for k, v in b.items())
+    if isinstance(b, list):
+        return isinstance(a, list) and all(any(_holds(y, v) for y in a) for v in b)
+    return (any(_holds(y, b) for y in a) if isinstance(a, list) else a == b) if not isinstance(a, dict) else False
+
+
+def json_contains(x: Column, part: Column | str) -> Column:
+    """Whether a JSON text holds another; a part given as a string is parsed once."""
+    if isinstance(part, str):
+        wanted = json.loads(part)
+
+        @F.pandas_udf("boolean")
+        def one(a: pd.Series) -> pd.Series:
+            known = {p: _holds(json.loads(p), wanted) for p in a.dropna().unique()}
+            return a.map(known).astype(object).where(a.notna(), None)
+
+        return one(x)
 
     @F.pandas_udf("boolean")
     def f(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else holds(json.loads(p), json.loads(q)) for p, q in zip(a, b, strict=True)])
+        return pd.Series([None if p is None or q is None else _holds(json.loads(p), json.loads(q)) for p, q in zip(a, b, strict=True)])
 
     return f(x, part)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +23,9 @@ def log10(x: Column) -> Column:
     return F.log10(x)
 
 
-def log(base: Column, x: Column) -> Column:
-    return F.ln(x) / F.ln(base)
+def log(*args: Column) -> Column:
+    """log(x) to base 10, or log(base, x)."""
+    return F.log10(args[0]) if len(args) == 1 else F.ln(args[1]) / F.ln(args[0])
 
 
 def ln(x: Column) -> Column:
@@ -46,18 +47,37 @@ def gcd(a: Column, b: Column) -> Column:
 
 
 def lcm(a: Column, b: Column) -> Column:
+    """In whole numbers, which are exact beyond 2**53 too."""
     g = gcd(a, b)
-    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs((a.cast("long") / g).cast("long") * b.cast("long")))
+    part = F.call_function("div", a.cast("long"), F.when(g != 0, g).otherwise(1))
+    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs(part * b.cast("long")))
 
 
-@F.pandas_udf(T.DoubleType())
-def gamma(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if pd.isna(v) else math.gamma(v))
+def _gamma(v: float) -> float:
+    if v == 0 or v == math.inf:
+        return math.copysign(math.inf, v)
+    if v < 0 and v == math.floor(v):
+        return math.nan
+    try:
+        return math.gamma(v)
+    except OverflowError:
+        return math.inf
 
 
-@F.pandas_udf(T.DoubleType())
-def lgamma(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if pd.isna(v) else math.lgamma(v))
+def _lgamma(v: float) -> float:
+    return math.inf if v <= 0 and v == math.floor(v) else math.lgamma(v)
+
+
+@F.arrow_udf(T.DoubleType())
+def gamma(x: pa.Array) -> pa.Array:
+    """Infinity at zero and beyond 171.6, NaN at negative whole numbers."""
+    return pa.array([None if v is None else _gamma(v) for v in x.to_pylist()], pa.float64())
+
+
+@F.arrow_udf(T.DoubleType())
+def lgamma(x: pa.Array) -> pa.Array:
+    """Infinity at zero and negative whole numbers."""
+    return pa.array([None if v is None else _lgamma(v) for v in x.to_pylist()], pa.float64())
 
 
 def beta(a: Column, b: Column) -> Column:
@@ -88,3 +108,39 @@ def get_bit(bits: Column, place: Column | int) -> Column:
 
 def set_bit(bits: Column, place: int, value: int) -> Column:
     return F.overlay(bits, F.lit(str(value)), F.lit(place + 1), F.lit(1))
+
+
+def bit_length(s: Column) -> Column:
+    return F.octet_length(s) * 8
+
+
+#: The seed that setseed() left for random().
+_seed: list[int | None] = [None]
+
+
+def setseed(x: float) -> Column:
+    """From now on random() draws the same numbers for the same plan; null, as the dialect has it."""
+    _seed[0] = int(x * 2**31)
+    return F.lit(None)
+
+
+def random() -> Column:
+    return F.rand(_seed[0])
+
+
+def hash(*values: Column) -> Column:  # noqa: A001  the dialect's name
+    """FNV-1a over the UTF-8 of the values' text, as a 64-bit number in two's complement."""
+    # FNV-1a's offset basis and prime, 2**40 + 435. Products go by halves of 32 bits, as long ones overflow.
+    mask = F.lit(0xFFFFFFFF)
+    text = F.concat_ws("\x1f", *(v.cast("string") for v in values))
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda k: F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), k, F.lit(1))), 16, 10).cast("long"))
+
+    def step(h: Column, byte: Column) -> Column:
+        low = h["low"].bitwiseXOR(byte)
+        product = low * 435
+        high = (h["high"] * 435 + F.shiftright(product, 32) + F.shiftleft(low, 8).bitwiseAND(mask)).bitwiseAND(mask)
+        return F.struct(high.alias("high"), product.bitwiseAND(mask).alias("low"))
+
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("high"), F.lit(0x84222325).cast("long").alias("low"))
+    folded = F.aggregate(F.when(text == "", F.array().cast("array<bigint>")).otherwise(codes), start, step)
+    return F.transform(F.array(folded), lambda h: F.shiftleft(h["high"], 32).bitwiseOR(h["low"]))[0]

@@ -7,19 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import aggregates
 from . import geo, nested, numeric, strings, temporal
 
 #: Names whose builder is Spark's function of another name.
 _ALIASES = {
     "ceiling": "ceil", "round_even": "bround", "power": "pow", "ucase": "upper", "lcase": "lower", "char_length": "length", "character_length": "length",
     "len": "length", "strip": "trim", "lstrip": "ltrim", "rstrip": "rtrim", "prefix": "startswith", "starts_with": "startswith", "suffix": "endswith", "ends_with": "endswith",
-    "strpos": "instr", "position": "instr", "ord": "ascii", "unicode": "ascii", "mean": "avg", "variance": "var_samp", "stddev": "stddev_samp", "every": "bool_and",
-    "list_value": "array", "list_pack": "array", "list_append": "array_append", "array_push_back": "array_append", "list_prepend": "array_prepend", "array_push_front": "array_prepend",
+    "strpos": "instr", "ord": "ascii", "unicode": "ascii", "mean": "avg", "variance": "var_samp", "stddev": "stddev_samp", "every": "bool_and",
+    "list_value": "array", "list_pack": "array", "list_append": "array_append", "array_push_back": "array_append",
     "list_contains": "array_contains", "list_has": "array_contains", "list_reverse": "reverse", "list_concat": "concat", "array_cat": "concat", "array_length": "size",
     "list_transform": "transform", "array_apply": "transform", "apply": "transform", "list_filter": "filter", "array_filter": "filter", "array_to_string": "array_join", "list_to_string": "array_join",
-    "struct_pack": "struct", "to_base64": "base64", "base64_encode": "base64", "from_base64": "unbase64", "base64_decode": "unbase64", "json_extract_text": "get_json_object",
-    "regexp_matches": "rlike", "string_split_regex": "split", "regexp_split_to_array": "split", "sha256": "sha2", "gen_random_uuid": "uuid", "iff": "when", "if": "when", "ifnull": "coalesce", "nvl": "coalesce",
-    "approx_quantile": "percentile_approx", "group_concat": "listagg", "datepart": "date_part", "to_char": "date_format", "make_timestamptz": "make_timestamp_ltz", "timezone": "convert_timezone", "map_extract": "element_at",
+    "to_base64": "base64", "base64_encode": "base64", "from_base64": "unbase64", "base64_decode": "unbase64", "json_extract_text": "get_json_object",
+    "regexp_matches": "rlike", "string_split_regex": "split", "regexp_split_to_array": "split", "gen_random_uuid": "uuid", "ifnull": "coalesce", "nvl": "coalesce",
+    "approx_quantile": "percentile_approx", "datepart": "date_part", "make_timestamptz": "make_timestamp_ltz", "timezone": "convert_timezone",
 }
 
 #: Functions whose builder is the library's own.
@@ -31,15 +32,28 @@ _OWN = {
     **{n: getattr(geo, n) for n in dir(geo) if n.startswith("st_")},
 }
 _OWN |= {
+    **{n: getattr(numeric, n) for n in ("bit_length", "setseed", "random", "hash")}, "rand": numeric.random,
+    **{n: getattr(strings, n) for n in ("position", "like_escape", "sha256", "sha512", "encode", "decode", "typeof", "pg_typeof")},
+    **{n: temporal.part(n) for n in ("year", "month", "day", "hour", "minute", "second", "millisecond", "microsecond", "dayofweek", "dow", "isodow", "dayofyear", "doy", "week", "weekofyear", "isoyear", "yearweek", "quarter", "decade", "century")},
+    **{f"to_{n}": temporal.to_unit(n) for n in temporal.INTERVAL_UNITS}, **{f"total_{n}": temporal.total(n) for n in ("years", "months", "days", "hours", "minutes", "seconds")}, "today": temporal.today, "to_char": temporal.strftime,
+    **{n: getattr(nested, n) for n in ("list_reverse_sort", "list_prepend", "struct_pack", "struct_extract", "struct_keys", "struct_insert", "map_extract", "enum_range", "enum_first", "enum_last")}, "map": nested.map_, "element_at": nested.map_extract,
+    "array_reverse_sort": nested.list_reverse_sort, "array_prepend": nested.list_prepend, "array_push_front": nested.list_prepend,
+    **{n: getattr(aggregates, n) for n in ("quantile", "percentile_cont", "percentile_disc", "approx_median", "skewness", "kurtosis", "weighted_avg", "sum_if", "avg_if", "min_if", "max_if", "arg_min", "arg_max", "any_value", "string_agg", "json_group_array", "json_group_object", "bitstring_agg")},
+    "quantile_cont": aggregates.quantile, "list": aggregates.list_agg, "array_agg": aggregates.list_agg, "group_concat": aggregates.string_agg, "listagg": aggregates.string_agg, "geometric_mean": aggregates.geometric_mean, "geomean": aggregates.geometric_mean,
+    "argmin": aggregates.arg_min, "min_by": aggregates.arg_min, "argmax": aggregates.arg_max, "max_by": aggregates.arg_max, "arbitrary": aggregates.any_value, "first": aggregates.first_value_by, "last": aggregates.last_value_by,
+    "histogram": aggregates.histogram_table, "mode": aggregates.mode_table, "entropy": aggregates.entropy_table, "mad": aggregates.mad_table, "favg": F.avg, "fsum": F.sum, "product": F.product,
+    "if": lambda condition, yes, no=None: F.when(condition, yes).otherwise(no), "inf": lambda: F.lit(float("inf")), "infinity": lambda: F.lit(float("inf")), "nan": lambda: F.lit(float("nan")), "mod": lambda a, b: a % b, "e": F.e, "pi": F.pi,
+    "approx_count_distinct": F.approx_count_distinct, "unnest": F.explode, "generate_series": F.sequence, "strlen": F.octet_length, "make_time": getattr(F, "make_time", None), "current_time": getattr(F, "current_time", None),
     "truncate": _OWN["trunc"], "substr": _OWN["substring"], "string_to_array": _OWN["string_split"], "epoch_us": temporal.micros, "datetrunc": _OWN["date_trunc"], "dateadd": _OWN["date_add"],
     "array_extract": _OWN["list_element"], "array_position": _OWN["list_position"], "array_distinct": _OWN["list_distinct"], "array_sort": _OWN["list_sort"], "array_aggregate": _OWN["list_aggregate"], "array_resize": _OWN["list_resize"],
 }
+_OWN["iff"] = _OWN["if"]
 
 
 def function(name: str) -> Callable:
     """The builder behind a dialect name: the library's own, an alias, or Spark's function of that name."""
     name = name.lower()
-    if name in _OWN:
+    if _OWN.get(name):
         return _OWN[name]
     found = getattr(F, _ALIASES.get(name, name), None)
     if found is None:
@@ -57,6 +71,27 @@ SQL_FUNCTIONS = {
     "signbit": ("x DOUBLE", "BOOLEAN", "x < 0 OR (x = 0 AND startswith(cast(x AS STRING), '-'))"),
     "trunc_toward_zero": ("x DOUBLE", "DOUBLE", "cast(CASE WHEN x < 0 THEN ceil(x) ELSE floor(x) END AS DOUBLE)"),
     "strip": ("s STRING", "STRING", "trim(s)"),
+    "lstrip": ("s STRING", "STRING", "ltrim(s)"),
+    "rstrip": ("s STRING", "STRING", "rtrim(s)"),
+    "strlen": ("s STRING", "BIGINT", "cast(octet_length(s) AS BIGINT)"),
+    "ord": ("s STRING", "INT", "ascii(s)"),
+    "unicode": ("s STRING", "INT", "ascii(s)"),
+    "starts_with": ("s STRING, p STRING", "BOOLEAN", "startswith(s, p)"),
+    "ends_with": ("s STRING, p STRING", "BOOLEAN", "endswith(s, p)"),
+    "strpos": ("s STRING, p STRING", "BIGINT", "cast(instr(s, p) AS BIGINT)"),
+    "jaccard": ("a STRING, b STRING", "DOUBLE", "size(array_intersect(filter(split(a, ''), c -> c <> ''), filter(split(b, ''), c -> c <> ''))) / size(array_union(filter(split(a, ''), c -> c <> ''), filter(split(b, ''), c -> c <> '')))"),
+    "hamming": ("a STRING, b STRING", "BIGINT", "CASE WHEN length(a) = length(b) THEN cast(size(filter(zip_with(split(a, ''), split(b, ''), (x, y) -> x <> y), d -> d)) AS BIGINT) END"),
+    "isinf": ("x DOUBLE", "BOOLEAN", "abs(x) = double('Infinity')"),
+    "isfinite": ("x DOUBLE", "BOOLEAN", "NOT isnan(x) AND abs(x) <> double('Infinity')"),
+    "gcd": ("a BIGINT, b BIGINT", "BIGINT", "aggregate(sequence(1, 92), struct(abs(a) AS a, abs(b) AS b), (s, k) -> CASE WHEN s.b = 0 THEN s ELSE struct(s.b AS a, try_mod(s.a, s.b) AS b) END, s -> s.a)"),
+    "lcm": ("a BIGINT, b BIGINT", "BIGINT", "CASE WHEN a = 0 OR b = 0 THEN 0L ELSE abs(a div aggregate(sequence(1, 92), struct(abs(a) AS a, abs(b) AS b), (s, k) -> CASE WHEN s.b = 0 THEN s ELSE struct(s.b AS a, try_mod(s.a, s.b) AS b) END, s -> s.a) * b) END"),
+    "today": ("", "DATE", "current_date()"),
+    "isoyear": ("t TIMESTAMP_NTZ", "INT", "extract(YEAROFWEEK FROM t)"),
+    "millisecond": ("t TIMESTAMP_NTZ", "BIGINT", "pmod(unix_micros(cast(t AS TIMESTAMP)) div 1000, 60000)"),
+    "microsecond": ("t TIMESTAMP_NTZ", "BIGINT", "pmod(unix_micros(cast(t AS TIMESTAMP)), 60000000)"),
+    "epoch": ("t TIMESTAMP_NTZ", "DOUBLE", "unix_micros(cast(t AS TIMESTAMP)) / 1000000D"),
+    "epoch_ns": ("t TIMESTAMP_NTZ", "BIGINT", "unix_micros(cast(t AS TIMESTAMP)) * 1000"),
+    "gen_random_uuid": ("", "STRING", "uuid()"),
     "prefix": ("s STRING, p STRING", "BOOLEAN", "startswith(s, p)"),
     "suffix": ("s STRING, p STRING", "BOOLEAN", "endswith(s, p)"),
     "epoch_ms": ("t TIMESTAMP_NTZ", "BIGINT", "cast(round(unix_micros(cast(t AS TIMESTAMP)) / 1000) AS BIGINT)"),

@@ -78,6 +78,47 @@ def list_position_of(s: Column, part: Column) -> Column:
     return F.instr(s, part)
 
 
+def position(part: Column, s: Column) -> Column:
+    """POSITION(part IN s): from 1, 0 if absent."""
+    return F.call_function("locate", part, s).cast("long")
+
+
+def like_escape(s: Column, pattern: Column, escape: str) -> Column:
+    return F.like(s, pattern, F.lit(escape))
+
+
+def sha256(s: Column) -> Column:
+    return F.sha2(s, 256)
+
+
+def sha512(s: Column) -> Column:
+    return F.sha2(s, 512)
+
+
+def encode(s: Column) -> Column:
+    return F.encode(s, "UTF-8")
+
+
+def decode(b: Column) -> Column:
+    return F.decode(b, "UTF-8")
+
+
+#: The dialect's names of Spark's types.
+TYPE_NAMES = {"tinyint": "TINYINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT", "float": "FLOAT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "binary": "BLOB", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "interval": "INTERVAL", "void": "\"NULL\""}
+
+
+def typeof(x: Column) -> Column:
+    """The dialect's name of a type; lists of such types and decimals too, other nested types as Spark spells them."""
+    name = F.typeof(x)
+    inner = F.regexp_replace(name, "^(array<)*|>*$", "")
+    known = F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*(F.lit(v) for kv in TYPE_NAMES.items() for v in kv)), lambda k, _: k == inner)), F.lit(0)), F.upper(inner))
+    return F.concat(known, F.repeat(F.lit("[]"), F.regexp_count(name, F.lit("array<"))))
+
+
+def pg_typeof(x: Column) -> Column:
+    return F.lower(typeof(x))
+
+
 def url_encode(s: Column) -> Column:
     """Blanks as %20."""
     return F.replace(F.replace(F.replace(F.url_encode(s), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

@@ -152,3 +152,58 @@ def dayname(ts: Column) -> Column:
 
 def monthname(ts: Column) -> Column:
     return F.date_format(ts, "MMMM")
+
+
+def part(name: str):
+    """The function of one part of a date or time: year(ts), isodow(ts), ..."""
+
+    def of(ts: Column) -> Column:
+        return date_part(name, ts)
+
+    of.__doc__ = f"The {name} of a date or time."
+    return of
+
+
+def today() -> Column:
+    return F.current_date()
+
+
+#: Places of the units in make_interval(years, months, weeks, days, hours, minutes, seconds), and how many of those each is.
+INTERVAL_UNITS = {"millennia": (0, 1000), "centuries": (0, 100), "decades": (0, 10), "years": (0, 1), "quarters": (1, 3), "months": (1, 1), "weeks": (2, 1), "days": (3, 1), "hours": (4, 1), "minutes": (5, 1), "seconds": (6, 1), "milliseconds": (6, 0.001), "microseconds": (6, 0.000001)}
+
+
+def to_unit(unit: str):
+    """The builder to_<unit>(n) of intervals, which add to dates and timestamps."""
+    place, size = INTERVAL_UNITS[unit]
+
+    def build(n: Column) -> Column:
+        amount = (n * F.lit(size)).cast("decimal(18,6)") if place == 6 else (n * F.lit(size)).cast("int")
+        return F.make_interval(*(amount if k == place else F.lit(0) for k in range(7)))
+
+    build.__doc__ = f"An interval of n {unit}."
+    return build
+
+
+#: Days of a month and of a year on average, as totals of mixed intervals count them.
+MONTH_DAYS, YEAR_DAYS = 30.4375, 365.25
+
+
+def total(unit: str):
+    """The function total_<unit>(interval): all of an interval in one unit, as a double."""
+
+    def of(interval: Column) -> Column:
+        months = F.extract(F.lit("YEAR"), interval) * 12 + F.extract(F.lit("MONTH"), interval)
+        seconds = (F.extract(F.lit("HOUR"), interval) * 3600 + F.extract(F.lit("MINUTE"), interval) * 60 + F.extract(F.lit("SECOND"), interval)).cast("double")
+        days = F.extract(F.lit("DAY"), interval) + seconds / 86400
+        every = months * MONTH_DAYS + days
+        return {
+            "years": lambda: every / YEAR_DAYS,
+            "months": lambda: months + days / MONTH_DAYS,
+            "days": lambda: every,
+            "hours": lambda: every * 24,
+            "minutes": lambda: every * 1440,
+            "seconds": lambda: every * 86400,
+        }[unit]().cast("double")
+
+    of.__doc__ = f"All of an interval in {unit}."
+    return of

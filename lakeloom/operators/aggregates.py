@@ -97,7 +97,7 @@ def json_group_array(x: str, order: Sequence[str]) -> Column:
 
 
 def json_group_object(key: str, x: str) -> Column:
-    """A JSON object of distinct keys, in order of the keys."""
+    """A JSON object of all keys and values, in order of the keys; a repeated key is written again, as the dialect does."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(x).alias("v"))))
     return F.concat(F.lit("{"), F.array_join(F.transform(rows, lambda r: F.concat(_json(r["k"]), F.lit(":"), F.when(r["v"].isNull(), F.lit("null")).otherwise(_json(r["v"])))), ","), F.lit("}"))
 
@@ -113,6 +113,24 @@ def bitstring_agg(x: str, low: int, high: int) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda i: F.when(F.array_contains(found, i.cast("int")), "1").otherwise("0")), "")
 
 
+def quantile(x: str, q: float | Sequence[float]) -> Column:
+    """Interpolated; a list of places gives a list."""
+    return F.percentile(x, list(q) if isinstance(q, Sequence) else q)
+
+
+def percentile_cont(q: float, x: str, descending: bool = False) -> Column:
+    return F.percentile(x, 1 - q if descending else q)
+
+
+def percentile_disc(q: float, x: str) -> Column:
+    """The first value whose share of values up to it reaches q."""
+    return F.expr(f"percentile_disc({float(q)}D) WITHIN GROUP (ORDER BY `{x}`)")
+
+
+def approx_median(x: str) -> Column:
+    return F.percentile_approx(x, 0.5)
+
+
 def grouping_bits(*columns: str) -> Column:
     """GROUPING(a, b, ...): a bit per column, the first the highest."""
     return sum((F.grouping(c).cast("long") * 2 ** (len(columns) - 1 - k) for k, c in enumerate(columns)), F.lit(0).cast("long"))
@@ -136,15 +154,28 @@ def mode_table(df: DataFrame, keys: Sequence[str], x: str, name: str = "mode") -
     return counts.groupBy(*keys).agg(F.min_by(x, F.struct(-F.col("_n"), F.col(x))).alias(name))
 
 
+def _by_value(df: DataFrame, keys: Sequence[str], x: Column) -> DataFrame:
+    """How often each value occurs in each group: what exact percentiles need of a group, in one row for each value."""
+    return df.select(*keys, x.alias("_x")).where("_x is not null").groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def median_table(df: DataFrame, keys: Sequence[str], x: Column, name: str = "median") -> DataFrame:
+    """Exact medians from the numbers of each value, so a frequent value is one row before any group is put together."""
+    return _by_value(df, keys, x).groupBy(*keys).agg(F.percentile("_x", 0.5, F.col("_n")).alias(name))
+
+
 def mad_table(df: DataFrame, keys: Sequence[str], x: str, name: str = "mad") -> DataFrame:
-    """Median absolute deviation: medians by group joined back, so no group is sorted in a window."""
-    medians = df.groupBy(*keys).agg(F.median(x).alias("_m"))
-    return df.join(medians, list(keys)).groupBy(*keys).agg(F.median(F.abs(F.col(x) - F.col("_m"))).alias(name)) if keys else df.crossJoin(F.broadcast(medians)).agg(F.median(F.abs(F.col(x) - F.col("_m"))).alias(name))
+    """Median absolute deviation: medians by group joined back to the numbers of each value, which are all it needs."""
+    counted = _by_value(df, keys, F.col(x))
+    medians = counted.groupBy(*keys).agg(F.percentile("_x", 0.5, F.col("_n")).alias("_m"))
+    joined = counted.join(medians, list(keys)) if keys else counted.crossJoin(F.broadcast(medians))  # one row
+    return joined.groupBy(*keys).agg(F.percentile(F.abs(F.col("_x") - F.col("_m")), 0.5, F.col("_n")).alias(name))
 
 
 def salted_agg(df: DataFrame, keys: Sequence[str], sums: dict[str, Column], salts: int = 16) -> DataFrame:
-    """Sums in two steps, first by key and salt; for aggregates whose partial step Spark can't run before the shuffle."""
-    salted = df.withColumn("_salt", (F.rand(1) * salts).cast("int")).groupBy(*keys, "_salt").agg(*(v.alias(k) for k, v in sums.items()))
+    """Sums in two steps, first by key and salt, a hash of the row, so that a task that runs again deals alike; for
+    aggregates whose partial step Spark can't run before the shuffle."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")).groupBy(*keys, "_salt").agg(*(v.alias(k) for k, v in sums.items()))
     return salted.groupBy(*keys).agg(*(F.sum(k).alias(k) for k in sums))
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def insert(target: DataFrame, rows: DataFrame) -> DataFrame:
@@ -48,6 +49,43 @@ def delete(target: DataFrame, where: Column | None = None, using: DataFrame | No
     return target.where(~F.coalesce(where, F.lit(False))) if where is not None else target.limit(0)
 
 
+def insert_returning(target: DataFrame, rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """INSERT ... RETURNING *: the rows that the insert adds, in target's columns; with keys those that don't conflict."""
+    fresh = rows.join(target.select(*keys), list(keys), "left_anti") if keys else rows
+    return target.limit(0).unionByName(fresh, allowMissingColumns=True).select(*target.columns)
+
+
+def update_returning(target: DataFrame, set_: dict[str, Column], where: Column | None = None, source: DataFrame | None = None, on: Column | None = None) -> DataFrame:
+    """UPDATE ... RETURNING *: the changed rows, as update() makes them."""
+    new = lambda old: [(set_[c] if c in set_ else old(c)).cast(target.schema[c].dataType).alias(c) for c in target.columns]
+    if source is None:
+        return (target.where(where) if where is not None else target).select(*new(F.col))
+    joined = target.alias("t").join(source.alias("s"), on if where is None else on & where)
+    return joined.select(*new(lambda c: F.col(f"t.{c}")))
+
+
+def delete_returning(target: DataFrame, where: Column | None = None, using: DataFrame | None = None, on: Column | None = None) -> DataFrame:
+    """DELETE ... RETURNING *: the rows that go."""
+    if using is not None:
+        return target.alias("t").join(using.alias("s"), on if where is None else on & where, "left_semi")
+    return target.where(where) if where is not None else target
+
+
+def with_defaults(rows: DataFrame, schema: str, defaults: dict[str, Column] | None = None, generated: dict[str, Column] | None = None) -> DataFrame:
+    """rows as a table of a schema: columns they lack take their default, or null; generated columns are computed of the others, and can't be given."""
+    given = [c for c in generated or {} if c in rows.columns]
+    if given:
+        raise ValueError(f"generated columns can't be given: {given}")
+    fields = StructType.fromDDL(schema).fields
+    made = rows
+    for f in fields:
+        if f.name not in made.columns and f.name not in (generated or {}):
+            made = made.withColumn(f.name, (defaults or {}).get(f.name, F.lit(None)))
+    for name, value in (generated or {}).items():
+        made = made.withColumn(name, value)
+    return made.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+
+
 @dataclass
 class When:
     """A clause of merge(): matched True, False (only in the source) or "source" (only in the target); then update, delete, insert or nothing."""

@@ -67,12 +67,18 @@ def subscripts(df: DataFrame, column: str, name: str = "generate_subscripts") ->
 
 
 def json_each(df: DataFrame, column: str, key: str = "key", value: str = "value") -> DataFrame:
-    """A row per member of a JSON object, values as JSON text."""
-    return df.select("*", F.explode(F.from_json(column, T.MapType(T.StringType(), T.StringType()))).alias(key, value))
+    """A row per member of a JSON object, or element of a JSON array with its place from 0; values as JSON text."""
+    parsed = F.try_parse_json(F.col(column))
+    is_list = F.schema_of_variant(parsed).startswith("ARRAY")
+    members = F.map_entries(F.try_variant_get(F.when(~is_list, parsed), "$", "map<string, variant>"))
+    items = F.try_variant_get(F.when(is_list, parsed), "$", "array<variant>")
+    named = F.transform(items, lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
+    text = F.transform(F.coalesce(named, members), lambda m: F.struct(m["key"].alias(key), F.to_json(m["value"]).alias(value)))
+    return df.select("*", F.inline(text))
 
 
 def summarize(df: DataFrame) -> DataFrame:
-    """Per column: type, min, max, approximate distinct count, mean, deviation, rows and null share; one pass over df."""
+    """Per column: type, min, max, approximate distinct count, mean, deviation, quartiles (approximate), rows and null share; one pass over df."""
     parts = []
     for f in df.schema.fields:
         c, numeric = F.col(f"`{f.name}`"), isinstance(f.dataType, T.NumericType)
@@ -87,6 +93,7 @@ def summarize(df: DataFrame) -> DataFrame:
                 (F.approx_count_distinct(c) if ordered else F.lit(None).cast("long")).alias("approx_unique"),
                 (F.avg(c) if numeric else F.lit(None).cast("double")).cast("double").alias("avg"),
                 (F.stddev_samp(c) if numeric else F.lit(None).cast("double")).cast("double").alias("std"),
+                *((F.percentile_approx(c, q).cast("string") if numeric else F.lit(None).cast("string")).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)),
                 F.count(F.lit(1)).alias("count"),
                 F.when(F.count(F.lit(1)) > 0, 100.0 * (F.count(F.lit(1)) - F.count(c)) / F.count(F.lit(1))).alias("null_percentage"),
             )

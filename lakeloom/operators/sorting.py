@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,20 +13,35 @@ def nulls_last(*columns: str, descending: bool = False) -> list[Column]:
     return [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last() for c in columns]
 
 
-def with_ties(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
-    """The first n rows in order and all that tie with the last: found from the n-th key, so nothing is ranked globally."""
-    keys = df.select(F.struct(*(c.alias(f"k{i}") if isinstance(c, Column) else F.col(c).alias(f"k{i}") for i, c in enumerate(_plain(order)))).alias("key"), "*")
-    last = keys.orderBy(*order).select("key").limit(n).agg(F.collect_list("key").alias("keys")).select(F.array_distinct("keys").alias("keys"))  # n keys
-    return keys.join(F.broadcast(last), F.expr("array_contains(keys, key)")).drop("key", "keys")
+#: Rows whose keys are sent to every executor at most.
+BROADCAST_ROWS = 100_000
+
+
+def with_ties(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
+    """The first n rows in order and all that tie with the last: the rows that have the keys of the first n, which a
+    top-k finds, so nothing is ranked globally."""
+    keys = [c.alias(f"_k{i}") for i, c in enumerate(_plain(order))]
+    first = df.orderBy(*order).limit(n).select(*keys).distinct()
+    joined = df.select("*", *keys).alias("l")
+    on = F.lit(True)
+    for i in range(len(keys)):
+        on = on & F.col(f"l._k{i}").eqNullSafe(F.col(f"r._k{i}"))
+    first = F.broadcast(first) if n <= BROADCAST_ROWS else first
+    return joined.join(first.alias("r"), on, "left_semi").drop(*(f"_k{i}" for i in range(len(keys))))
 
 
 def _plain(order: Sequence[Column | str]) -> list[Column]:
     """The expressions under sort directions."""
     out = []
     for c in order:
-        text = c if isinstance(c, str) else str(c._jc if hasattr(c, "_jc") else c)
-        name = text.split(" ")[0].strip("`")
-        out.append(F.col(name))
+        if isinstance(c, str):
+            out.append(F.col(c))
+            continue
+        node = c._jc.node()
+        if node.getClass().getSimpleName() != "SortOrder":
+            out.append(c)
+            continue
+        out.append(type(c)(SparkContext._active_spark_context._jvm.org.apache.spark.sql.Column(node.child())))
     return out
 
 

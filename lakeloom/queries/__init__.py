@@ -14,12 +14,12 @@ class Tables:
     """The tables of a folder, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self._dir = spark, sf_dir
+        self.spark, self.folder = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str, *names: str) -> DataFrame:
         """A Spark SQL query over tables named in braces."""
@@ -48,4 +48,4 @@ def sql(key: str, spark_sql: str, oracle: str | None = None) -> None:
 
 
 def load() -> None:
-    from . import aggregates, functions, joins, relational, shapes, windows  # noqa: F401
+    from . import aggregates, dialect, functions, joins, relational, shapes, windows  # noqa: F401

@@ -98,9 +98,20 @@ def agg_json(t):
     return t.nation.groupBy("n_regionkey").agg(A.json_group_array("n_name", ["n_nationkey"]).alias("a"), A.json_group_object("n_name", "n_nationkey").alias("o"))
 
 
-@query()
+@query("SELECT l_returnflag, true AS parts, true AS median, true AS tails FROM lineitem GROUP BY l_returnflag")
 def agg_approximate(t):
-    return t.lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median"), F.percentile_approx("l_extendedprice", [0.1, 0.9]).alias("tails"))
+    """Whether each estimate is within its bound of the exact value: 15 percent of the count, one percent of the rows for quantiles."""
+    d = t.lineitem
+    made = d.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5, 10_000).alias("median"), F.percentile_approx("l_extendedprice", [0.1, 0.9], 10_000).alias("tails"))
+    named = d.join(made, "l_returnflag")
+    share = lambda column, bound: F.avg((F.col(column) <= bound).cast("double"))
+    below = lambda column, bound: F.avg((F.col(column) < bound).cast("double"))
+    between = lambda column, bound, q: (below(column, bound) <= q + 0.01) & (share(column, bound) >= q - 0.01)
+    return named.groupBy("l_returnflag").agg(
+        (F.abs(F.first("parts") / F.count_distinct("l_partkey") - 1) < 0.15).alias("parts"),
+        between("l_quantity", F.col("median"), 0.5).alias("median"),
+        (between("l_extendedprice", F.col("tails")[0], 0.1) & between("l_extendedprice", F.col("tails")[1], 0.9)).alias("tails"),
+    )
 
 
 @query("SELECT abs(x - 1) < 0.1 AS close FROM (SELECT 1.0 AS x)")
@@ -113,9 +124,9 @@ def agg_salted(t):
     return A.salted_agg(t.lineitem, ["l_suppkey"], {"q": F.sum("l_quantity")}).withColumn("q", F.round("q", 2))
 
 
-@query("SELECT o_custkey, sqrt(sum(o_totalprice * o_totalprice)) > 0 AS ok, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, round(sqrt(sum(o_totalprice * o_totalprice)), 2) AS norm, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey")
 def agg_user_defined(t):
     from ..udf import mergeable_aggregate
 
     out = mergeable_aggregate(t.orders, ["o_custkey"], "o_totalprice", lambda: [0.0, 0.0], lambda s, x: [s[0] + x * x, s[1] + 1], lambda a, b: [a[0] + b[0], a[1] + b[1]], lambda s: [float(s[0] ** 0.5), s[1]], "array<double>", "array<double>")
-    return out.select("o_custkey", (F.col("value")[0] > 0).alias("ok"), F.col("value")[1].cast("long").alias("n"))
+    return out.select("o_custkey", F.round(F.col("value")[0], 2).alias("norm"), F.col("value")[1].cast("long").alias("n"))

@@ -53,13 +53,26 @@ sql("arithmetic", "SELECT l_orderkey, l_linenumber, round(l_quantity + l_tax, 4)
 sql("star_except", "SELECT * EXCEPT (c_acctbal, c_name) FROM {customer}", "SELECT * EXCLUDE (c_acctbal, c_name) FROM customer")
 sql("having", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) > 12")
 sql("limit_offset", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 5")
-sql("order_nulls", "SELECT o_orderkey, x FROM (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS x FROM {orders}) s ORDER BY x DESC NULLS LAST, o_orderkey LIMIT 50")
+sql("order_nulls", "SELECT o_orderkey, x, CAST(row_number() OVER (ORDER BY x DESC NULLS LAST, o_orderkey) AS BIGINT) AS last, CAST(row_number() OVER (ORDER BY x NULLS FIRST, o_orderkey DESC) AS BIGINT) AS first FROM (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS x FROM {orders}) s")
 sql("common_table_expressions", "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS s FROM {orders} GROUP BY o_custkey), b AS (SELECT avg(s) AS m FROM a) SELECT o_custkey, round(s, 2) AS total FROM a, b WHERE s > m")
-sql("parameters", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > 100000 AND o_orderstatus = 'O'")
 sql("extract_parts", "SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(extract(QUARTER FROM o_orderdate) AS BIGINT) AS q FROM {orders}")
 sql("interval_arithmetic", "SELECT o_orderkey, o_orderdate + INTERVAL '1' MONTH AS next_month, o_orderdate - INTERVAL '3' DAY AS before FROM {orders}")
 
 
+@query("SELECT o_orderkey, 'first' AS way FROM orders WHERE o_totalprice > 100000.0 AND o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'second' FROM orders WHERE o_totalprice BETWEEN 50000.0 AND 60000.0 AND o_orderstatus <> 'F'")
+def parameters(t):
+    """Bound by place and by name."""
+    t.orders.createOrReplaceTempView("parameter_orders")
+    first = t.spark.sql("SELECT o_orderkey, 'first' AS way FROM parameter_orders WHERE o_totalprice > ? AND o_orderstatus = ?", args=[100000.0, "O"])
+    second = t.spark.sql("SELECT o_orderkey, 'second' AS way FROM parameter_orders WHERE o_totalprice BETWEEN :low AND :high AND o_orderstatus <> :status", args={"low": 50000.0, "high": 60000.0, "status": "F"})
+    return first.unionAll(second)
+
+
+@query("SELECT o_orderkey % 7 AS k, o_orderkey FROM orders QUALIFY rank() OVER (ORDER BY o_orderkey % 7 DESC) <= 5")
+def with_ties_of_expressions(t):
+    return sorting.with_ties(t.orders.select((F.col("o_orderkey") % 7).alias("k"), "o_orderkey"), 5, [(F.col("o_orderkey") % 7).desc()])
+
+
 @query("SELECT c_custkey, c_name, round(c_acctbal * 2, 2) AS c_acctbal FROM customer")
 def star_replace(t):
     return t.customer.withColumn("c_acctbal", F.round(F.col("c_acctbal") * 2, 2)).select("c_custkey", "c_name", "c_acctbal")

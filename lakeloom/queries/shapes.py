@@ -132,6 +132,22 @@ def delete_where(t):
     return dml.delete(_target_source(t)[0], F.nullif("r", F.lit(3)) > 1)
 
 
+@query(f"SELECT k, name, r, 'insert' AS action FROM (SELECT k, name, NULL::INT AS r FROM {_SOURCE} WHERE k NOT IN (SELECT n_nationkey FROM nation)) UNION ALL SELECT n_nationkey, coalesce(s.name, n_name), n_regionkey, 'update' FROM nation JOIN {_SOURCE} s ON s.k = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey, n_name, n_regionkey, 'delete' FROM nation WHERE n_regionkey > 2")
+def returning(t):
+    target, source = _target_source(t)
+    fresh = dml.insert_returning(target, source, ["k"])
+    changed = dml.update_returning(target, {"name": c("s.name")}, source=source, on=c("t.k") == c("s.k"), where=c("t.r") == 1)
+    gone = dml.delete_returning(target, c("r") > 2)
+    return fresh.withColumn("action", F.lit("insert")).unionAll(changed.withColumn("action", F.lit("update"))).unionAll(gone.withColumn("action", F.lit("delete")))
+
+
+@query("SELECT n_nationkey AS k, 'N' || n_nationkey AS label, n_nationkey * 2 AS twice, 'new' AS state FROM nation")
+def table_defaults(t):
+    rows = t.nation.selectExpr("n_nationkey AS k")
+    made = dml.with_defaults(rows, "k int, label string, twice int, state string", defaults={"state": F.lit("new")}, generated={"twice": c("k") * 2, "label": F.concat(F.lit("N"), c("k").cast("string"))})
+    return made.select("k", "label", "twice", "state")
+
+
 @query("SELECT 'check positive' AS \"constraint\", CAST(count(*) AS BIGINT) AS n FROM nation WHERE NOT (n_regionkey > 0)")
 def constraint_check(t):
     return dml.violations(t.nation, ["n_nationkey"], {"positive": c("n_regionkey") > 0}, ["n_name"], [(["n_regionkey"], t.region, ["r_regionkey"])])
@@ -140,11 +156,24 @@ def constraint_check(t):
 _STOP = ", ".join(f"'{w}'" for w in fts.STOP_WORDS)
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '' AND x NOT IN ({_STOP})) AS ws FROM documents),
+_SEARCH = f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '' AND x NOT IN ({_STOP})) AS ws FROM documents),
 d AS (SELECT doc_id, len(ws) AS size, len(list_filter(ws, lambda x: x = 'ing')) AS a, len(list_filter(ws, lambda x: x = 'tion')) AS b FROM w),
 s AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM d)
-SELECT doc_id AS key, round(ln((n - da + 0.5) / (da + 0.5) + 1) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * size / mean)) + ln((n - db + 0.5) / (db + 0.5) + 1) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score FROM d, s WHERE a > 0 OR b > 0""")
+SELECT doc_id AS key, round(ln((n - da + 0.5) / (da + 0.5) + 1) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * size / mean)) + ln((n - db + 0.5) / (db + 0.5) + 1) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score FROM d, s WHERE a > 0 OR b > 0"""
+_INDEXES: dict[tuple, fts.Index] = {}
+
+
+@query(_SEARCH)
 def full_text_search(t):
+    """Over an index that is built once for a session and folder."""
+    at = (t.spark.sparkContext.applicationId, t.folder)
+    if at not in _INDEXES:
+        _INDEXES[at] = fts.Index.create(t.documents, "doc_id", "text", uuid.uuid4().hex)
+    return _INDEXES[at].search("the ing of tion").withColumn("score", F.round("score", 6))
+
+
+@query(_SEARCH)
+def full_text_scan(t):
     return fts.search(t.documents, "doc_id", "text", "the ing of tion").withColumn("score", F.round("score", 6))
 
 
@@ -227,6 +256,13 @@ def vector_similarity(t):
     return d.select("vec_id", F.round(dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q")), 4).alias("s"))
 
 
+@query("SELECT n_nationkey, key, value FROM (SELECT n_nationkey, unnest([{'key': '0', 'value': '' || n_regionkey}, {'key': '1', 'value': '\"x\"'}, {'key': '2', 'value': '[1]'}], recursive := true) FROM nation) UNION ALL SELECT 100 + n_nationkey, 'a', '' || n_nationkey FROM nation")
+def json_each(t):
+    d = t.nation.select("n_nationkey", F.concat(F.lit("["), c("n_regionkey").cast("string"), F.lit(',"x",[1]]')).alias("j"))
+    d = d.unionAll(t.nation.select(c("n_nationkey") + 100, F.concat(F.lit('{"a":'), c("n_nationkey").cast("string"), F.lit("}"))))
+    return reshape.json_each(d, "j").select("n_nationkey", "key", "value")
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) + 0 AS k FROM events WHERE json_valid(props)")
 def variant_access(t):
     return t.events.where(nested.json_valid(c("props"))).select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))

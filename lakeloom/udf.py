@@ -100,7 +100,7 @@ def mergeable_aggregate(df: DataFrame, keys: Sequence[str], column: str, init: C
         return work
 
     states = narrow.mapInPandas(partial, f"{kinds}, _state {state}")
-    salted = states.withColumn("_salt", (F.rand(7) * 16).cast("int"))
+    salted = states.withColumn("_salt", F.pmod(F.xxhash64("_state"), F.lit(16)).cast("int"))
     half = salted.groupBy(*keys, "_salt").applyInPandas(lambda f: merge(False)(f), f"{kinds}, _state {state}")
     return half.groupBy(*keys).applyInPandas(merge(True), f"{kinds}, `{name}` {returns}")
 
