@@ -100,3 +100,16 @@ def sql_names(t):
     register(t.spark)
     t.nation.createOrReplaceTempView("dialect_nation")
     return t.spark.sql("SELECT n_nationkey, sha256(n_name) AS h, even(n_nationkey) AS e, gcd(n_nationkey, 12) AS g, lcm(n_nationkey, 4) AS l, strlen(n_name) AS n, jaccard(n_name, 'FRANCE') AS j, suffix(n_name, 'A') AS s, isfinite(n_nationkey) AS i FROM dialect_nation")
+
+
+@query("SELECT n_nationkey, x * 16 + 16 - 4 * x AS u, 4 * x AS i, 16 * x - 4 * x AS d, 'POINT (1 2)' AS a, 4326 AS s, CASE WHEN n_nationkey % 2 = 0 THEN 3.0 END AS z, 'LINESTRING (0 0, ' || n_nationkey || ' 1)' AS l, 'POLYGON ((0 0, 4 0, 4 4, 0 0))' AS p, true AS t, true AS o, true AS e, true AS w FROM (SELECT n_nationkey, 1.0::DOUBLE AS x FROM nation)")
+def fn_geo_overlays(t):
+    """Two squares of side 4 that share a square of side 2, and constructors and predicates around them."""
+    a, b, k = F.lit("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))"), F.lit("POLYGON ((2 2, 6 2, 6 6, 2 6, 2 2))"), c("n_nationkey")
+    point = F.when(k % 2 == 0, F.lit("POINT Z (1 2 3)")).otherwise(F.lit("POINT (1 2)"))
+    line = f("st_makeline")(F.lit("POINT (0 0)"), f("st_point")(k, F.lit(1)))
+    return t.nation.select(
+        k, f("st_area")(f("st_union")(a, b)).alias("u"), f("st_area")(f("st_intersection")(a, b)).alias("i"), f("st_area")(f("st_difference")(a, b)).alias("d"), f("st_astext")(f("st_setsrid")(F.lit("POINT (1 2)"), 4326)).alias("a"),
+        f("st_srid")(f("st_setsrid")(F.lit("POINT (1 2)"), 4326)).alias("s"), f("st_z")(point).alias("z"), line.alias("l"), f("st_makepolygon")(F.lit("LINESTRING (0 0, 4 0, 4 4, 0 0)")).alias("p"),
+        f("st_touches")(a, F.lit("POLYGON ((4 0, 8 0, 8 4, 4 4, 4 0))")).alias("t"), f("st_overlaps")(a, b).alias("o"), f("st_equals")(a, f("st_geomfromtext")(F.lit("polygon((4 0,4 4,0 4,0 0,4 0))"))).alias("e"), f("st_equals")(a, f("st_fromwkb")(f("st_aswkb")(a))).alias("w"),
+    )

@@ -1,12 +1,15 @@
 """Behaviour that the registered queries don't reach."""
 
 import datetime
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.functions import geo, nested, registry, strings, temporal
-from lakeloom.operators import aggregates, dml, joins, recursive, reshape, sorting
+from lakeloom import fts
+from lakeloom.functions import geo, nested, numeric, registry, strings, temporal
+from lakeloom.operators import aggregates, dml, joins, recursive, reshape, sorting, windows
 from lakeloom.plans import catalog
 from lakeloom.sources import readers, writers
 
@@ -175,3 +178,67 @@ def test_streaming_windows(spark, tmp_path):
 def test_union_type(spark):
     r = one(spark, nested.union_value("num", F.lit(3), {"num": "int", "str": "string"}))
     assert (r.c0.tag, r.c0.num, r.c0.str) == ("num", 3, None)
+
+
+def test_overlays_of_polygons():
+    rng = random.Random(3)
+
+    def star(n):
+        x, y = rng.randint(0, 6), rng.randint(0, 6)
+        points = [(x + rng.randint(1, 5) * math.cos(6.283 * (k + 0.4 * rng.random()) / n), y + rng.randint(1, 5) * math.sin(6.283 * (k + 0.4 * rng.random()) / n)) for k in range(n)]
+        turns = [geo._side(points[k - 2], points[k - 1], points[k]) for k in range(n)]
+        return geo.text("POLYGON", [points + points[:1]]) if min(turns) > 0 else star(n)  # convex, so surely simple
+
+    def box(x, y, w, h):
+        return f"POLYGON (({x} {y}, {x + w} {y}, {x + w} {y + h}, {x} {y + h}, {x} {y}))"
+
+    for k in range(80):
+        a, b = (star(rng.randint(4, 6)), star(rng.randint(4, 6))) if k % 2 else (box(*(rng.randint(1, 4) for _ in range(4))), box(*(rng.randint(1, 4) for _ in range(4))))
+        for c in (a, geo.difference(a, b) if geo.area(geo.difference(a, b)) else a):  # also with holes and parts
+            union, both, rest = geo.union(c, b), geo.intersection(c, b), geo.difference(c, b)
+            assert abs(geo.area(union) - geo.area(c) - geo.area(b) + geo.area(both)) < 1e-9 and abs(geo.area(rest) - geo.area(c) + geo.area(both)) < 1e-9
+    assert geo.union(box(0, 0, 1, 1), box(5, 0, 1, 1)) == "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 1, 0 0)), ((5 0, 6 0, 6 1, 5 1, 5 0)))"
+    assert geo.difference(box(0, 0, 4, 4), box(1, 1, 2, 2)) == "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))"
+    assert geo.difference(box(0, 0, 1, 1), box(0, 0, 2, 2)) == "POLYGON EMPTY" and geo.union(box(0, 0, 1, 1), box(1, 0, 1, 1)) == "POLYGON ((0 0, 2 0, 2 1, 0 1, 0 0))"
+    assert abs(geo.area(geo.buffer(box(0, 0, 4, 4), 1.0)) - 32 - math.pi) < 0.05 and abs(geo.area(geo.buffer("LINESTRING (0 0, 4 0, 4 4)", 1.0)) - 18.9) < 0.1
+    with pytest.raises(ValueError):
+        geo.union("POINT (0 0)", box(0, 0, 1, 1))
+
+
+def test_hash_is_fnv_1a(spark):
+    def fnv(raw):
+        h = 0xCBF29CE484222325
+        for byte in raw:
+            h = (h ^ byte) * 0x100000001B3 % 2**64
+        return h - 2**64 if h >= 2**63 else h
+
+    texts = ["", "a", "foobar", "é字" * 50, "\x00"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(numeric.hash(df["t"])).collect()] == [fnv(t.encode()) for t in texts]
+
+
+def test_seeded_random_numbers(spark):
+    draw = lambda: spark.range(20).select(numeric.random().alias("x")).collect()
+    numeric.setseed(0.25)
+    assert draw() == draw()
+
+
+def test_index_of_postings(spark):
+    rows = [(1, "Quick brown fox, ii² foxes"), (2, "the fox"), (3, None), (4, ""), (5, "FOX fox fox lazy")]
+    docs = spark.createDataFrame(rows, "id long, body string")
+    index = fts.Index.create(docs, "id", "body", "test", overwrite=True)
+    for query in ("fox", "the", "ii² lazy", "", "none of them", "quick fox"):
+        want = {r.key: round(r.score, 9) for r in fts.search(docs, "id", "body", query).collect()}
+        assert {r.key: round(r.score, 9) for r in index.search(query).collect()} == want
+    assert [r.key for r in index.search("fox", 2).collect()] == [r.key for r in fts.search(docs, "id", "body", "fox", 2).collect()] and index.search("ii²").count() == 1
+    index.drop()
+    with pytest.raises(Exception):
+        fts.Index(spark, index.path)
+
+
+def test_excluded_rows_keep_precision(spark):
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([1.0, 2.0, 4.0, 8.0, 1e17])], "k long, x double")
+    out = windows.excluding(df, [], "k", "current row", ("rows", -10, 10), s=("sum", "x"))
+    assert out.where("k = 4").head().s == 15.0
+    out = windows.excluding(spark.createDataFrame([(1,), (2,), (4,)], "v int"), [], "v", "group", ("range", -2, -1), s=("sum", "v"))
+    assert {r.v: r.s for r in out.collect()} == {1: None, 2: 1.0, 4: 2.0}
