@@ -13,21 +13,30 @@ from ..plans.materialize import written
 def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = 1000) -> DataFrame:
     """base and everything that step derives from new rows, without repeats; cycles end.
 
-    Each round joins only the rows that the last one added and writes them, so plans stay small and rounds survive
-    lost executors. Raises RecursionError after limit rounds.
+    Each round joins only the rows that the last one added. Rows are told from those seen before by an anti-join on
+    all columns, whose seen side is written once a round, merged as its runs grow, so plans stay small and rounds
+    survive lost executors. Raises RecursionError after limit rounds.
     """
+    columns = base.columns
     new = written(base.distinct(), "recursion")
-    rounds = [new]
+    runs: list[tuple[DataFrame, int]] = [(new, 1)]  # written runs of rows, each with the rounds it holds
     for _ in range(limit):
-        everything = rounds[0]
-        for x in rounds[1:]:
-            everything = everything.unionAll(x)
-        new = written(step(new).select(*base.columns).subtract(everything), "recursion")
+        found = step(new).select(*columns).distinct()
+        for seen, _ in runs:
+            on = F.lit(True)
+            for c in columns:
+                on = on & F.col(f"n.`{c}`").eqNullSafe(F.col(f"s.`{c}`"))
+            found = found.alias("n").join(seen.alias("s"), on, "left_anti")
+        new = written(found, "recursion")
         if not new.head(1):
-            return everything
-        rounds.append(new)
-        if len(rounds) > 16:  # few files to union
-            rounds = [written(everything.unionAll(new), "recursion")]
+            out = runs[0][0]
+            for seen, _ in runs[1:]:
+                out = out.unionAll(seen)
+            return out
+        runs.append((new, 1))
+        while len(runs) > 1 and runs[-2][1] <= runs[-1][1] * 2 and len(runs) > 3:  # few runs, each rewritten seldom
+            (a, m), (b, n) = runs[-2:]
+            runs[-2:] = [(written(a.unionAll(b), "recursion"), m + n)]
     raise RecursionError(f"no fixpoint after {limit} rounds")
 
 

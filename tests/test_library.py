@@ -242,3 +242,13 @@ def test_excluded_rows_keep_precision(spark):
     assert out.where("k = 4").head().s == 15.0
     out = windows.excluding(spark.createDataFrame([(1,), (2,), (4,)], "v int"), [], "v", "group", ("range", -2, -1), s=("sum", "v"))
     assert {r.v: r.s for r in out.collect()} == {1: None, 2: 1.0, 4: 2.0}
+
+
+def test_asof_without_keys_is_cut(spark):
+    rng = random.Random(5)
+    left, right = [(k, rng.randint(0, 300) if k else None) for k in range(200)], [(rng.randint(0, 300), k) for k in range(60)]
+    rows = joins.asof_join(spark.createDataFrame(left, "k int, t int"), spark.createDataFrame(right, "u int, v int"), "t", "u", how="left", tie=["v"]).collect()
+    want = {k: max(((u, v) for u, v in right if t is not None and u <= t), default=(None, None)) for k, t in left}
+    assert {r.k: (r.u, r.v) for r in rows} == want
+    empty = spark.createDataFrame([], "u int, v int")
+    assert joins.asof_join(spark.createDataFrame(left, "k int, t int"), empty, "t", "u", how="left").count() == 200
