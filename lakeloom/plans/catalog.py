@@ -36,11 +36,17 @@ def databases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(d.name, d.locationUri) for d in spark.catalog.listDatabases()], "database_name string, path string")
 
 
+#: Sequences that were given a name.
+SEQUENCES: dict[str, Sequence_] = {}
+
+
 class Sequence_:
     """NEXTVAL and CURRVAL on the driver, and numbering whole tables without gaps."""
 
-    def __init__(self, start: int = 1, increment: int = 1):
+    def __init__(self, start: int = 1, increment: int = 1, name: str | None = None):
         self._next, self._increment, self._last = start, increment, None
+        if name:
+            SEQUENCES[name] = self
 
     def nextval(self) -> int:
         self._last, self._next = self._next, self._next + self._increment

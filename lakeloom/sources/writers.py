@@ -53,7 +53,8 @@ def _array(frames):
 
 
 def _arrow(df: DataFrame, path: str, stream: bool) -> None:
-    """An IPC file per partition, written through Hadoop's file systems by Spark as binary records."""
+    """An IPC file per partition, written by the tasks: through pyarrow's file systems where they know the path's, which
+    all executors then share, and through the driver's Hadoop file systems, a partition at a time, where they don't."""
     import io
     import uuid
 
@@ -61,21 +62,44 @@ def _arrow(df: DataFrame, path: str, stream: bool) -> None:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(df.schema)
+    kind = "arrows" if stream else "arrow"
+
+    def fill(out, batches) -> None:
+        with (pa.ipc.new_stream if stream else pa.ipc.new_file)(out, schema) as writer:
+            for b in batches:
+                writer.write_batch(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, schema, strict=True)], schema=schema))
+
     jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     top = jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(conf)
+    fs = top.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(top)
+    qualified = fs.makeQualified(top).toString()
+    if qualified.startswith(("file:", "s3", "gs:", "hdfs:")):
+
+        def put(batches):
+            from pyarrow import fs as arrow_fs
+
+            system, base = arrow_fs.FileSystem.from_uri("file:///" + qualified.removeprefix("file:").lstrip("/") if qualified.startswith("file:") else qualified)
+            name = f"part-{uuid.uuid4().hex}.{kind}"
+            with system.open_output_stream(f"{base}/_{name}") as out:  # readers pass over names with a line in front
+                fill(out, batches)
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+        names = [r["name"] for r in df.mapInArrow(put, "name string").collect()]  # a row a task
+        for name in names:  # files of attempts that didn't count stay out
+            fs.rename(jvm.org.apache.hadoop.fs.Path(top, f"_{name}"), jvm.org.apache.hadoop.fs.Path(top, name))
+        for status in fs.listStatus(top):
+            if status.getPath().getName().startswith("_part-"):
+                fs.delete(status.getPath(), False)
+        return
 
     def pack(batches):
         out = io.BytesIO()
-        with (pa.ipc.new_stream if stream else pa.ipc.new_file)(out, schema) as writer:
-            for b in batches:
-                writer.write_batch(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, schema, strict=True)], schema=schema))
+        fill(out, batches)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["content"])
 
     for row in df.mapInArrow(pack, "content binary").toLocalIterator():  # a partition at a time
-        target = fs.create(jvm.org.apache.hadoop.fs.Path(path, f"part-{uuid.uuid4().hex}.{'arrows' if stream else 'arrow'}"))
+        target = fs.create(jvm.org.apache.hadoop.fs.Path(path, f"part-{uuid.uuid4().hex}.{kind}"))
         target.write(bytearray(row[0]))
         target.close()
 

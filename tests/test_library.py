@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import os
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lakeloom import fts
 from lakeloom.functions import geo, nested, numeric, registry, strings, temporal
 from lakeloom.operators import aggregates, dml, joins, recursive, reshape, sorting, windows
-from lakeloom.plans import catalog
+from lakeloom.plans import catalog, materialize, system
 from lakeloom.sources import readers, writers
 
 
@@ -252,3 +253,41 @@ def test_asof_without_keys_is_cut(spark):
     assert {r.k: (r.u, r.v) for r in rows} == want
     empty = spark.createDataFrame([], "u int, v int")
     assert joins.asof_join(spark.createDataFrame(left, "k int, t int"), empty, "t", "u", how="left").count() == 200
+
+
+def test_written_tables_are_dropped(spark):
+    materialize.drop_written(spark)
+    made = materialize.written(spark.range(5), "five")
+    (file,) = {f.rpartition("/")[0] for f in made.inputFiles()}
+    assert made.count() == 5 and os.path.isdir(file.removeprefix("file://"))
+    assert materialize.drop_written(spark) == 1 and not os.path.exists(file.removeprefix("file://")) and materialize.drop_written(spark) == 0
+
+
+def test_system_tables(spark, tmp_path):
+    spark.range(3).toDF("k").createOrReplaceTempView("system_view")
+    catalog.Sequence_(name="numbers").nextval()
+    for name in system.system_names():
+        assert system.system_table(spark, name).columns, name
+    assert system.system_table(spark, "duckdb_views()").where("view_name = 'system_view'").count() == 1
+    assert [r.data_type for r in system.system_table(spark, "information_schema.columns").where("table_name = 'system_view'").collect()] == ["BIGINT"]
+    assert system.system_table(spark, "sequences").where("sequence_name = 'numbers' and last_value = 1").count() == 1
+    assert system.system_table(spark, "keywords").where("keyword_name = 'select'").count() == 1 and system.system_table(spark, "pg_catalog.pg_class").where("relname = 'system_view' and relkind = 'v'").count() == 1
+
+
+def test_tables_by_name_and_attached_folders(spark, tmp_path):
+    made = system.create_table(spark, "made", "k int, twice int, state string", spark.sql("SELECT 4 AS k"), {"state": F.lit("new")}, {"twice": F.col("k") * 2})
+    assert [tuple(r) for r in made.collect()] == [(4, 8, "new")]
+    assert system.create_table_as(made, "copied").count() == 1 and system.create_table_as(made.limit(0), "copied", if_not_exists=True).count() == 1
+    assert [r.name for r in system.pragma(spark, "table_info", "made").collect()] == ["k", "twice", "state"]
+    for name in ("made", "copied"):
+        system.drop_table(spark, name)
+    system.drop_table(spark, "made", if_exists=True)
+    spark.range(4).write.parquet(f"{tmp_path}/four.parquet")
+    assert system.attach(spark, str(tmp_path), "other") == ["four"] and spark.table("other.four").count() == 4
+    system.use(spark, "other")
+    assert spark.table("four").count() == 4 and system.pragma(spark, "show_tables").where("name = 'four'").count() == 1
+    system.use(spark, "default")
+    system.detach(spark, "other")
+    assert spark.read.parquet(f"{tmp_path}/four.parquet").count() == 4
+    with pytest.raises(ValueError):
+        dml.with_defaults(spark.sql("SELECT 1 AS k"), "k int", generated={"k": F.lit(1)})
