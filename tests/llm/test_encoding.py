@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -83,6 +84,25 @@ def test_media_round_trip(docs, texts):
     assert all(by_text[want[r.doc_id]] == (r.media_sha256, r.feature) for r in rows)
 
 
+def plain_feature(raw):
+    """The hash by definition: a 32 x 32 shrunk image, its 8 x 8 lowest frequencies as sums of cosines, signs against their median."""
+    rows = [raw[k : k + 192] for k in range(0, len(raw), 192)]
+    tall = rows if len(rows) >= 32 else [rows[k * len(rows) // 32] for k in range(32)]
+    cuts = [k * len(tall) // 32 for k in range(33)]
+    small = [[sum(tall[y][x] for y in range(cuts[i], cuts[i + 1]) for x in range(6 * j, 6 * j + 6)) / (cuts[i + 1] - cuts[i]) for j in range(32)] for i in range(32)]
+    wave = lambda u, k: math.cos(math.pi / 32 * (k + 0.5) * u)
+    low = [round(sum(small[i][j] * wave(u, i) * wave(v, j) for i in range(32) for j in range(32)), 3) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return f"{int(''.join('01'[x > middle] for x in low), 2):016x}"
+
+
+def test_features_by_definition():
+    rng = random.Random(6)
+    for size in (1, 191, 192, 5000, 192 * 32, 9001):
+        raw = media.padded(bytes(rng.choice(b"abc defgh.,\n") for _ in range(size)))
+        assert media.low_frequency_hash(media.samples(media.png(raw))) == plain_feature(raw)
+
+
 @pytest.mark.parametrize("kind", range(5))
 def test_every_filter_is_undone(kind):
     rng = np.random.default_rng(kind)

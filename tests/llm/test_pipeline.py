@@ -61,3 +61,8 @@ def test_stages_on_odd_tables(spark, empty, docs):
         assert out.columns == odd.columns and out.count() > 0, name
         assert stage(spark, empty, SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() == odd.count()
+
+
+def test_without_labels_no_text_goes(spark, docs, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).count() == docs.count()
