@@ -41,7 +41,7 @@ _OWN |= {
     **{n: getattr(aggregates, n) for n in ("quantile", "percentile_cont", "percentile_disc", "approx_median", "skewness", "kurtosis", "weighted_avg", "sum_if", "avg_if", "min_if", "max_if", "arg_min", "arg_max", "any_value", "string_agg", "json_group_array", "json_group_object", "bitstring_agg")},
     "quantile_cont": aggregates.quantile, "list": aggregates.list_agg, "array_agg": aggregates.list_agg, "group_concat": aggregates.string_agg, "listagg": aggregates.string_agg, "geometric_mean": aggregates.geometric_mean, "geomean": aggregates.geometric_mean,
     "argmin": aggregates.arg_min, "min_by": aggregates.arg_min, "argmax": aggregates.arg_max, "max_by": aggregates.arg_max, "arbitrary": aggregates.any_value, "first": aggregates.first_value_by, "last": aggregates.last_value_by,
-    "histogram": aggregates.histogram_table, "mode": aggregates.mode_table, "entropy": aggregates.entropy_table, "mad": aggregates.mad_table, "favg": F.avg, "fsum": F.sum, "product": F.product,
+    "histogram": aggregates.histogram_table, "mode": aggregates.mode_table, "entropy": aggregates.entropy_table, "mad": aggregates.mad_table, "favg": lambda *a, **k: aggregates.exact_sum_table(*a, mean=True, **k), "fsum": aggregates.exact_sum_table, "product": F.product,
     "if": lambda condition, yes, no=None: F.when(condition, yes).otherwise(no), "inf": lambda: F.lit(float("inf")), "infinity": lambda: F.lit(float("inf")), "nan": lambda: F.lit(float("nan")), "mod": lambda a, b: a % b, "e": F.e, "pi": F.pi,
     "approx_count_distinct": F.approx_count_distinct, "unnest": F.explode, "generate_series": F.sequence, "strlen": F.octet_length, "make_time": getattr(F, "make_time", None), "current_time": getattr(F, "current_time", None),
     "truncate": _OWN["trunc"], "substr": _OWN["substring"], "string_to_array": _OWN["string_split"], "epoch_us": temporal.micros, "datetrunc": _OWN["date_trunc"], "dateadd": _OWN["date_add"],

@@ -131,6 +131,22 @@ def approx_median(x: str) -> Column:
     return F.percentile_approx(x, 0.5)
 
 
+def exact_sum_table(df: DataFrame, keys: Sequence[str], x: str, name: str = "sum", mean: bool = False) -> DataFrame:
+    """Sums (or means) of doubles without rounding errors of their order: partial sums travel as a double and its error."""
+    import math
+
+    from ..udf import mergeable_aggregate, vectorised
+
+    def folded(values: list[float], n: float) -> list[float]:
+        high = math.fsum(values)
+        return [high, math.fsum([*values, -high]) if math.isfinite(high) else 0.0, n]
+
+    update = vectorised(lambda s, v: folded([s[0], s[1], *v.dropna()], s[2] + float(v.count())))
+    combine = lambda a, b: folded([a[0], a[1], b[0], b[1]], a[2] + b[2])
+    finish = lambda s: None if not s[2] else (s[0] + s[1]) / s[2] if mean else s[0] + s[1]
+    return mergeable_aggregate(df, keys, x, lambda: [0.0, 0.0, 0.0], update, combine, finish, "array<double>", "double", name)
+
+
 def grouping_bits(*columns: str) -> Column:
     """GROUPING(a, b, ...): a bit per column, the first the highest."""
     return sum((F.grouping(c).cast("long") * 2 ** (len(columns) - 1 - k) for k, c in enumerate(columns)), F.lit(0).cast("long"))

@@ -66,12 +66,11 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], delim: str = ",", q
         from pyspark.sql import Window
 
         kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("f").orderBy("i"))) if len(_paths(path)) > 1 else kept.withColumn("n", F.col("i") + 1)
-        text = kept.where(F.col("n") > skip).select("value")
+        text = kept.where(F.col("n") > skip + (1 if header else 0)).select("value")
         names = kept.where(F.col("n") == skip + 1).select("value").first()
         heads = [x.strip(quote) for x in names[0].split(delim)] if names and header else [f"column{k}" for k in range(len(names[0].split(delim)))]
-        body = text.where(F.col("value") != names[0]) if header else text
         ddl = columns or ", ".join(f"`{h}` string" for h in heads)
-        return body.select(F.from_csv("value", ddl, {k: str(v) for k, v in options.items() if k in ("sep", "quote", "escape", "nullValue")}).alias("r")).select("r.*")
+        return text.select(F.from_csv("value", ddl, {k: str(v) for k, v in options.items() if k in ("sep", "quote", "escape", "nullValue")}).alias("r")).select("r.*")
     df = (reader.schema(columns) if columns else reader.option("inferSchema", True)).csv(_paths(path))
     if not columns and not header:
         df = df.toDF(*(f"column{k}" for k in range(len(df.columns))))

@@ -47,10 +47,21 @@ def sheet_rows(data: bytes, sheet: str | None = None) -> list[list]:
     return rows
 
 
-def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None, header: bool = True, all_varchar: bool = False) -> DataFrame:
-    """A sheet as a DataFrame; a workbook is one file and is read by one task's worth of memory, on the driver."""
+def _inside(rows: list[list], cells: str) -> list[list]:
+    """The rows and columns of a range such as B2:D10, B2:D (to the last row) or B2 (to the end of the sheet)."""
+    m = re.fullmatch(r"([A-Za-z]+)(\d+)(?::([A-Za-z]+)(\d+)?)?", cells)
+    if not m:
+        raise ValueError(f"not a range of cells: {cells}")
+    first, top = _column(m[1].upper()), int(m[2]) - 1
+    last, bottom = _column(m[3].upper()) + 1 if m[3] else None, int(m[4]) if m[4] else None
+    return [row[first:last] for row in rows[top:bottom]]
+
+
+def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None, header: bool = True, all_varchar: bool = False, cells: str | None = None) -> DataFrame:
+    """A sheet, or a range of its cells, as a DataFrame; a workbook is one file and is read by one task's worth of memory, on the driver."""
     data = spark.read.format("binaryFile").load(path).select("content").first()[0]
     rows = sheet_rows(bytes(data), sheet)
+    rows = _inside(rows, cells) if cells else rows
     width = max(map(len, rows), default=0)
     rows = [r + [None] * (width - len(r)) for r in rows]
     names = [str(x) for x in rows[0]] if header and rows else [f"column{k}" for k in range(width)]

@@ -69,6 +69,7 @@ def vectorised(f: Callable) -> Callable:
 def mergeable_aggregate(df: DataFrame, keys: Sequence[str], column: str, init: Callable[[], object], update: Callable, combine: Callable, finish: Callable, state: str, returns: str, name: str = "value") -> DataFrame:
     """An aggregate of init, update, combine and finish: a state per key and task, then states merged per key.
 
+    update(state, value) takes a value, or, marked by `vectorised`, all values of a key in a batch as a pandas Series.
     `state` is the SQL type of a state, so only states are shuffled. A key may be in any number of tasks; merging is
     done in two rounds, so no task gets one state per input task for a frequent key unless there are few.
     """
@@ -78,9 +79,13 @@ def mergeable_aggregate(df: DataFrame, keys: Sequence[str], column: str, init: C
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         states: dict[tuple, object] = {}
         for frame in frames:
-            for row in frame.itertuples(index=False, name=None):
-                key = row[:-1]
-                states[key] = update(states[key] if key in states else init(), row[-1])
+            if getattr(update, "vectorised", False):
+                parts = frame.groupby(list(keys), dropna=False, sort=False)["_x"] if keys else [((), frame["_x"])]
+                rows = ((key if isinstance(key, tuple) else (key,), values) for key, values in parts)
+            else:
+                rows = ((row[:-1], row[-1]) for row in frame.itertuples(index=False, name=None))
+            for key, value in rows:
+                states[key] = update(states[key] if key in states else init(), value)
             if len(states) > 100_000:
                 yield _frame(states)
                 states = {}

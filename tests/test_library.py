@@ -291,3 +291,29 @@ def test_tables_by_name_and_attached_folders(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/four.parquet").count() == 4
     with pytest.raises(ValueError):
         dml.with_defaults(spark.sql("SELECT 1 AS k"), "k int", generated={"k": F.lit(1)})
+
+
+def test_ranges_of_a_sheet(spark, tmp_path):
+    from lakeloom.sources.xlsx import read_xlsx
+
+    path = f"{tmp_path}/a.xlsx"
+    writers.copy_to(spark.createDataFrame([(k, f"t{k}", k * 2.5) for k in range(6)], "a int, b string, c double").orderBy("a"), path)
+    assert [tuple(r) for r in read_xlsx(spark, path, header=False, cells="B3:C4").collect()] == [("t1", 2.5), ("t2", 5.0)]
+    assert read_xlsx(spark, path, cells="B1").columns == ["b", "c"] and read_xlsx(spark, path, cells="A1:A").count() == 6
+    with pytest.raises(ValueError):
+        read_xlsx(spark, path, cells="1:2")
+
+
+def test_skipped_lines_keep_rows_like_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("note\na,b\n1,2\na,b\n3,4\n")
+    assert [tuple(r) for r in readers.read_csv(spark, f"{tmp_path}/a.csv", skip=1).collect()] == [("1", "2"), ("a", "b"), ("3", "4")]
+
+
+def test_vectorised_aggregate(spark):
+    from lakeloom.udf import mergeable_aggregate, vectorised
+
+    df = spark.range(100).selectExpr("id % 3 AS k", "double(id) AS x").repartition(5)
+    out = mergeable_aggregate(df, ["k"], "x", lambda: 0.0, vectorised(lambda s, v: max(s, v.max())), max, lambda s: s, "double", "double", "m")
+    assert dict(out.collect()) == {0: 99.0, 1: 97.0, 2: 98.0}
+    empty = aggregates.exact_sum_table(spark.createDataFrame([("a", None), ("b", 1e16), ("b", 1.0), ("b", -1e16)], "k string, x double"), ["k"], "x")
+    assert dict(empty.collect()) == {"a": None, "b": 1.0}
