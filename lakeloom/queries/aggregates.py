@@ -87,14 +87,14 @@ def agg_product(t):
     return t.nation.withColumn("x", F.col("n_nationkey") + 1.0).groupBy("n_regionkey").agg(F.round(F.product("x"), 0).alias("p"))
 
 
-@query("SELECT l_returnflag, CAST(sum(l_tax::DECIMAL(18,4)) AS DOUBLE) AS s, CAST(sum(l_tax::DECIMAL(18,4)) AS DOUBLE) / count(l_tax) AS a FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, round(CAST(sum(l_tax::DECIMAL(18,4)) AS DOUBLE), 6) AS s, round(CAST(sum(l_tax::DECIMAL(18,4)) AS DOUBLE) / count(l_tax), 9) AS a FROM lineitem GROUP BY l_returnflag")
 def agg_exact_sums(t):
     """Sums that plain addition of doubles gets wrong in the last digits: large values that cancel are added to each group."""
     d = t.lineitem.select("l_returnflag", F.col("l_tax").alias("x"))
     flags = d.select("l_returnflag").distinct()
     odd = flags.withColumn("x", F.explode(F.array(F.lit(1e16), F.lit(-1e16))))
     sums = A.exact_sum_table(d.unionAll(odd), ["l_returnflag"], "x", "s")
-    return sums.join(A.exact_sum_table(d, ["l_returnflag"], "x", "a", mean=True), "l_returnflag")
+    return sums.join(A.exact_sum_table(d, ["l_returnflag"], "x", "a", mean=True), "l_returnflag").select("l_returnflag", F.round("s", 6).alias("s"), F.round("a", 9).alias("a"))
 
 
 @query("SELECT n_regionkey, CAST(bitstring_agg(n_nationkey, 0, 24) AS VARCHAR) AS b FROM nation GROUP BY n_regionkey")

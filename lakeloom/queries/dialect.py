@@ -12,11 +12,11 @@ from . import query
 c = F.col
 
 
-@query("SELECT s_suppkey, log(abs(s_acctbal) + 1) AS l10, round(log(2, s_suppkey + 1), 8) AS l2, mod(s_suppkey, 7) AS m, lcm(9007199254740993, s_suppkey % 2 + 1) AS big, if(s_suppkey % 2 = 0, 'even', 'odd') AS i, round(exp(1), 10) AS e, isnan('nan'::DOUBLE) AS n, 'inf'::DOUBLE AS inf, gamma(0 - s_suppkey % 3) AS g, gamma(200.0 + s_suppkey) AS over, lgamma(0 - s_suppkey % 2) AS lg, gcd(s_suppkey, 12) AS gcd, bit_length('abc') AS bits FROM supplier")
+@query("SELECT s_suppkey, round(log(abs(s_acctbal) + 1), 8) AS l10, round(log(2, s_suppkey + 1), 8) AS l2, mod(s_suppkey, 7) AS m, lcm(9007199254740993, s_suppkey % 2 + 1) AS big, if(s_suppkey % 2 = 0, 'even', 'odd') AS i, round(exp(1), 10) AS e, isnan('nan'::DOUBLE) AS n, 'inf'::DOUBLE AS inf, gamma(0 - s_suppkey % 3) AS g, gamma(200.0 + s_suppkey) AS over, lgamma(0 - s_suppkey % 2) AS lg, gcd(s_suppkey, 12) AS gcd, bit_length('abc') AS bits FROM supplier")
 def fn_names_numbers(t):
     k = c("s_suppkey")
     return t.supplier.select(
-        "s_suppkey", f("log")(F.abs("s_acctbal") + 1).alias("l10"), F.round(f("log")(F.lit(2), k + 1), 8).alias("l2"), f("mod")(k, F.lit(7)).alias("m"), f("lcm")(F.lit(9007199254740993), k % 2 + 1).alias("big"),
+        "s_suppkey", F.round(f("log")(F.abs("s_acctbal") + 1), 8).alias("l10"), F.round(f("log")(F.lit(2), k + 1), 8).alias("l2"), f("mod")(k, F.lit(7)).alias("m"), f("lcm")(F.lit(9007199254740993), k % 2 + 1).alias("big"),
         f("if")(k % 2 == 0, F.lit("even"), F.lit("odd")).alias("i"), F.round(f("e")(), 10).alias("e"), F.isnan(f("nan")()).alias("n"), f("inf")().alias("inf"), f("gamma")((0 - k % 3).cast("double")).alias("g"), f("gamma")(200.0 + k).alias("over"),
         f("lgamma")((0 - k % 2).cast("double")).alias("lg"), f("gcd")(k, F.lit(12)).alias("gcd"), f("bit_length")(F.lit("abc")).cast("long").alias("bits"),
     )
@@ -77,12 +77,12 @@ def fn_names_nested(t):
     )
 
 
-@query("SELECT o_custkey, quantile_cont(o_totalprice, 0.25) AS q, quantile_cont(o_totalprice, [0.25, 0.75]) AS qs, quantile_disc(o_totalprice, 0.5) AS d, arg_min(o_orderkey, o_totalprice) AS lo, max_by(o_orderkey, o_totalprice) AS hi, list(o_orderkey ORDER BY o_orderkey) AS l, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS s, group_concat(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS g FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, round(quantile_cont(o_totalprice, 0.25), 4) AS q, list_transform(quantile_cont(o_totalprice, [0.25, 0.75]), lambda x: round(x, 4)) AS qs, quantile_disc(o_totalprice, 0.5) AS d, arg_min(o_orderkey, o_totalprice) AS lo, max_by(o_orderkey, o_totalprice) AS hi, list(o_orderkey ORDER BY o_orderkey) AS l, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS s, group_concat(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS g FROM orders GROUP BY o_custkey")
 def agg_names(t):
     by_status = t.orders.select("o_custkey", "o_orderstatus").distinct().groupBy("o_custkey").agg(f("group_concat")("o_orderstatus").alias("g"))
     price = "o_totalprice"
     made = t.orders.groupBy("o_custkey").agg(
-        f("quantile_cont")(price, 0.25).alias("q"), f("quantile")(price, [0.25, 0.75]).alias("qs"), f("percentile_disc")(0.5, price).alias("d"), f("arg_min")("o_orderkey", price).alias("lo"), f("max_by")("o_orderkey", price).alias("hi"),
+        F.round(f("quantile_cont")(price, 0.25), 4).alias("q"), F.transform(f("quantile")(price, [0.25, 0.75]), lambda x: F.round(x, 4)).alias("qs"), f("percentile_disc")(0.5, price).alias("d"), f("arg_min")("o_orderkey", price).alias("lo"), f("max_by")("o_orderkey", price).alias("hi"),
         f("list")("o_orderkey").alias("l"), F.round(f("sum_if")(price, c("o_orderstatus") == "F"), 2).alias("s"),
     )
     return made.join(by_status, "o_custkey")

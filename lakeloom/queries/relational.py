@@ -130,9 +130,16 @@ def sample_reservoir(t):
     return sorting.reservoir(t.orders, 100, seed=3).agg(F.count("*").cast("int").alias("n"))
 
 
-@query()
+@query("SELECT CAST(count(*) AS BIGINT) AS of, true AS near, true AS repeats, true AS inside FROM orders")
 def sample_bernoulli(t):
-    return sorting.bernoulli(t.orders.select("o_orderkey"), 10, seed=3)
+    """Whether ten percent is within five standard deviations, the same seed draws the same rows, and all are rows of the table."""
+    rows = t.orders.select("o_orderkey")
+    one, two = (sorting.bernoulli(rows, 10, seed=3) for _ in range(2))
+    drawn = one.agg(F.count("*").alias("n")).crossJoin(one.exceptAll(two).unionAll(two.exceptAll(one)).agg(F.count("*").alias("differ")))  # one row each
+    strange = one.exceptAll(rows).agg(F.count("*").alias("strange"))
+    every = rows.agg(F.count("*").alias("of")).crossJoin(drawn).crossJoin(strange)
+    near = F.abs(F.col("n") - F.col("of") * 0.1) <= 5 * F.sqrt(F.col("of") * 0.09)
+    return every.select("of", near.alias("near"), (F.col("differ") == 0).alias("repeats"), (F.col("strange") == 0).alias("inside"))
 
 
 def _halves(t):
