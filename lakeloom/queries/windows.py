@@ -42,11 +42,11 @@ _FRAMES = {
 for _frame, (_text, _of, _order) in _FRAMES.items():
     for _what in ("current row", "group", "ties"):
         query(
-            f"SELECT l_orderkey, l_linenumber, round(sum(l_tax) OVER w, 4) AS s, CAST(count(l_tax) OVER w AS BIGINT) AS c, round(avg(l_tax) OVER w, 13) AS a, min(l_extendedprice) OVER w AS lo, max(l_extendedprice) OVER w AS hi FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY {_order} {_text} EXCLUDE {_what.upper()})",
+            f"SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER w, 2) AS s, CAST(count(l_quantity) OVER w AS BIGINT) AS c, round(avg(l_quantity) OVER w, 10) AS a, min(l_extendedprice) OVER w AS lo, max(l_extendedprice) OVER w AS hi FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY {_order} {_text} EXCLUDE {_what.upper()})",
             name=f"window_exclude_{_frame}_{_what.replace(' ', '_')}",
         )(
-            lambda t, what=_what, frame=_of, order=_order: windows.excluding(t.lineitem, ["l_suppkey"], order, what, frame, s=("sum", "l_tax"), c=("count", "l_tax"), a=("avg", "l_tax"), lo=("min", "l_extendedprice"), hi=("max", "l_extendedprice")).select(
-                "l_orderkey", "l_linenumber", F.round("s", 4).alias("s"), "c", F.round("a", 13).alias("a"), "lo", "hi"
+            lambda t, what=_what, frame=_of, order=_order: windows.excluding(t.lineitem, ["l_suppkey"], order, what, frame, s=("sum", "l_quantity"), c=("count", "l_quantity"), a=("avg", "l_quantity"), lo=("min", "l_extendedprice"), hi=("max", "l_extendedprice")).select(
+                "l_orderkey", "l_linenumber", F.round("s", 2).alias("s"), "c", F.round("a", 10).alias("a"), "lo", "hi"
             )
         )
 
