@@ -34,7 +34,7 @@ _OWN = {
 _OWN |= {
     **{n: getattr(numeric, n) for n in ("bit_length", "setseed", "random", "hash")}, "rand": numeric.random,
     **{n: getattr(strings, n) for n in ("position", "like_escape", "sha256", "sha512", "encode", "decode", "typeof", "pg_typeof")},
-    **{n: temporal.part(n) for n in ("year", "month", "day", "hour", "minute", "second", "millisecond", "microsecond", "dayofweek", "dow", "isodow", "dayofyear", "doy", "week", "weekofyear", "isoyear", "yearweek", "quarter", "decade", "century")},
+    **{n: temporal.part(n) for n in ("year", "month", "day", "hour", "minute", "second", "millisecond", "microsecond", "nanosecond", "dayofweek", "dow", "isodow", "dayofyear", "doy", "week", "weekofyear", "isoyear", "yearweek", "quarter", "decade", "century")},
     **{f"to_{n}": temporal.to_unit(n) for n in temporal.INTERVAL_UNITS}, **{f"total_{n}": temporal.total(n) for n in ("years", "months", "days", "hours", "minutes", "seconds")}, "today": temporal.today, "to_char": temporal.strftime,
     **{n: getattr(nested, n) for n in ("list_reverse_sort", "list_prepend", "struct_pack", "struct_extract", "struct_keys", "struct_insert", "map_extract", "enum_range", "enum_first", "enum_last")}, "map": nested.map_, "element_at": nested.map_extract,
     "array_reverse_sort": nested.list_reverse_sort, "array_prepend": nested.list_prepend, "array_push_front": nested.list_prepend,
@@ -43,7 +43,7 @@ _OWN |= {
     "argmin": aggregates.arg_min, "min_by": aggregates.arg_min, "argmax": aggregates.arg_max, "max_by": aggregates.arg_max, "arbitrary": aggregates.any_value, "first": aggregates.first_value_by, "last": aggregates.last_value_by,
     "histogram": aggregates.histogram_table, "mode": aggregates.mode_table, "entropy": aggregates.entropy_table, "mad": aggregates.mad_table, "favg": lambda *a, **k: aggregates.exact_sum_table(*a, mean=True, **k), "fsum": aggregates.exact_sum_table, "product": F.product,
     "if": lambda condition, yes, no=None: F.when(condition, yes).otherwise(no), "inf": lambda: F.lit(float("inf")), "infinity": lambda: F.lit(float("inf")), "nan": lambda: F.lit(float("nan")), "mod": lambda a, b: a % b, "e": F.e, "pi": F.pi,
-    "approx_count_distinct": F.approx_count_distinct, "unnest": F.explode, "generate_series": F.sequence, "strlen": F.octet_length, "make_time": getattr(F, "make_time", None), "current_time": getattr(F, "current_time", None),
+    "approx_count_distinct": F.approx_count_distinct, "format": F.format_string, "unnest": F.explode, "generate_series": F.sequence, "strlen": F.octet_length, "make_time": getattr(F, "make_time", None), "current_time": getattr(F, "current_time", None),
     "truncate": _OWN["trunc"], "substr": _OWN["substring"], "string_to_array": _OWN["string_split"], "epoch_us": temporal.micros, "datetrunc": _OWN["date_trunc"], "dateadd": _OWN["date_add"],
     "array_extract": _OWN["list_element"], "array_position": _OWN["list_position"], "array_distinct": _OWN["list_distinct"], "array_sort": _OWN["list_sort"], "array_aggregate": _OWN["list_aggregate"], "array_resize": _OWN["list_resize"],
 }

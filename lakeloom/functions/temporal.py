@@ -47,6 +47,7 @@ def date_part(part: str, ts: Column) -> Column:
         "second": lambda: F.second(ts),
         "millisecond": lambda: F.pmod(F.floor(micros(ts) / 1000), F.lit(60_000)),
         "microsecond": lambda: F.pmod(micros(ts), F.lit(60_000_000)),
+        "nanosecond": lambda: F.pmod(micros(ts), F.lit(60_000_000)) * 1000,
         "dow": lambda: F.dayofweek(ts) - 1,
         "dayofweek": lambda: F.dayofweek(ts) - 1,
         "isodow": lambda: F.weekday(ts) + 1,
