@@ -66,15 +66,20 @@ def vectorised(f: Callable) -> Callable:
     return f
 
 
+#: Tasks whose states of a key are merged in one place before those of all tasks are.
+FAN_IN = 64
+
+
 def mergeable_aggregate(df: DataFrame, keys: Sequence[str], column: str, init: Callable[[], object], update: Callable, combine: Callable, finish: Callable, state: str, returns: str, name: str = "value") -> DataFrame:
     """An aggregate of init, update, combine and finish: a state per key and task, then states merged per key.
 
     update(state, value) takes a value, or, marked by `vectorised`, all values of a key in a batch as a pandas Series.
-    `state` is the SQL type of a state, so only states are shuffled. A key may be in any number of tasks; merging is
-    done in two rounds, so no task gets one state per input task for a frequent key unless there are few.
+    `state` is the SQL type of a state, so only states are shuffled. Merging reads states in order of their keys, so it
+    holds one state at a time and costs a call per state, not per group. A key may be in any number of tasks: the states
+    of FAN_IN tasks meet first, so no task gets one state per input task for a frequent key unless there are few.
     """
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    narrow = df.select(*keys, F.col(column).alias("_x"))
+    narrow = df.select(*(_one_zero(df, k) for k in keys), F.col(column).alias("_x"))
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         states: dict[tuple, object] = {}
@@ -95,19 +100,40 @@ def mergeable_aggregate(df: DataFrame, keys: Sequence[str], column: str, init: C
         return pd.DataFrame([(*k, v) for k, v in states.items()], columns=[*keys, "_state"])
 
     def merge(last: bool):
-        def work(frame: pd.DataFrame) -> pd.DataFrame:
-            total = None
-            for s in frame["_state"]:
-                total = s if total is None else combine(total, s)
-            key = tuple(frame[k].iloc[0] for k in keys)
-            return pd.DataFrame([(*key, finish(total) if last else total)], columns=[*keys, name if last else "_state"])
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            made, current, total = [], None, None
+            names = [*keys, name if last else "_state"]
+            for frame in frames:
+                for *key, s in zip(*(frame[k] for k in keys), frame["_state"], strict=True):
+                    key = [None if k is pd.NaT or k != k else k for k in key]  # a null may come as NaN, which equals nothing
+                    if key == current:
+                        total = combine(total, s)
+                        continue
+                    if current is not None:
+                        made.append((*current, finish(total) if last else total))
+                    current, total = key, s
+                if len(made) > 100_000:
+                    yield pd.DataFrame(made, columns=names)
+                    made = []
+            if current is not None:
+                made.append((*current, finish(total) if last else total))
+            yield pd.DataFrame(made, columns=names)
 
         return work
 
-    states = narrow.mapInPandas(partial, f"{kinds}, _state {state}")
-    salted = states.withColumn("_salt", F.pmod(F.xxhash64("_state"), F.lit(16)).cast("int"))
-    half = salted.groupBy(*keys, "_salt").applyInPandas(lambda f: merge(False)(f), f"{kinds}, _state {state}")
-    return half.groupBy(*keys).applyInPandas(merge(True), f"{kinds}, `{name}` {returns}")
+    def by(states: DataFrame, columns: Sequence[str]) -> DataFrame:
+        return states.repartition(*columns).sortWithinPartitions(*columns) if columns else states.repartition(1)
+
+    states = narrow.mapInPandas(partial, f"{kinds}, _state {state}" if keys else f"_state {state}")
+    dealt = states.withColumn("_deal", F.floor(F.spark_partition_id() / FAN_IN))
+    half = by(dealt, [*keys, "_deal"]).drop("_deal").mapInPandas(merge(False), states.schema)
+    return by(half, keys).mapInPandas(merge(True), f"{kinds}, `{name}` {returns}" if keys else f"`{name}` {returns}")
+
+
+def _one_zero(df: DataFrame, key: str) -> Column:
+    """A key of which -0.0 and 0.0 are one value, as they are in groups."""
+    kind = df.schema[key].dataType
+    return (F.col(key) + F.lit(0.0)).cast(kind).alias(key) if isinstance(kind, T.FloatType | T.DoubleType) else F.col(key)
 
 
 def table_function(spark: SparkSession, name: str, rows: Callable[..., Iterator[tuple]], schema: str) -> Callable[..., DataFrame]:

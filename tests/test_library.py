@@ -317,3 +317,16 @@ def test_vectorised_aggregate(spark):
     assert dict(out.collect()) == {0: 99.0, 1: 97.0, 2: 98.0}
     empty = aggregates.exact_sum_table(spark.createDataFrame([("a", None), ("b", 1e16), ("b", 1.0), ("b", -1e16)], "k string, x double"), ["k"], "x")
     assert dict(empty.collect()) == {"a": None, "b": 1.0}
+
+
+def test_mergeable_aggregate_merges_in_order_of_keys_without_a_call_per_group(spark):
+    from lakeloom.udf import mergeable_aggregate
+
+    count = lambda d, keys: mergeable_aggregate(d, keys, "x", lambda: 0, lambda s, x: s + 1, lambda a, b: a + b, lambda s: s, "long", "long", "n")
+    df = spark.range(3000).selectExpr("id % 1000 AS a", "if(id % 7 = 0, null, cast(id % 7 AS string)) AS b", "double(id) AS x").repartition(70)
+    out = count(df, ["a", "b"])
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.groupBy("a", "b").agg(F.count("*").alias("n")).collect()))
+    zeros = spark.createDataFrame([(-0.0, 1.0), (0.0, 1.0), (1.0, 1.0)], "k double, x double").repartition(3)
+    assert sorted(r.n for r in count(zeros, ["k"]).collect()) == [1, 2]
+    assert [r.n for r in count(df, []).collect()] == [3000]
