@@ -48,13 +48,20 @@ def max_if(x: str, condition: Column) -> Column:
     return F.max(F.when(condition, F.col(x)))
 
 
-def arg_min(value: str, by: str) -> Column:
-    """Of the rows without a null in either argument."""
-    return F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(by)))
+def arg_min(value: str, by: str, order: str | None = None) -> Column:
+    """Of the rows without a null in either argument; of several with the least `by` the first in `order`, or without it any.
 
+    `order` is a number. The dialect keeps the first row it reads.
+    """
+    return F.min_by(F.col(value), _known(value, by, F.col(order) if order else None))
 
-def arg_max(value: str, by: str) -> Column:
-    return F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(by)))
+
+def arg_max(value: str, by: str, order: str | None = None) -> Column:
+    return F.max_by(F.col(value), _known(value, by, -F.col(order) if order else None))
+
+
+def _known(value: str, by: str, rank: Column | None) -> Column:
+    return F.when(F.col(value).isNotNull() & F.col(by).isNotNull(), F.col(by) if rank is None else F.struct(F.col(by), rank))
 
 
 def first_value_by(x: str, order: str) -> Column:

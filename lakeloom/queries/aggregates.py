@@ -21,7 +21,6 @@ sql("agg_correlation", "SELECT l_returnflag, round(covar_pop(l_extendedprice, l_
 sql("agg_regression", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS sl, round(regr_intercept(l_extendedprice, l_quantity), 2) AS ic, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, round(regr_avgx(l_extendedprice, l_quantity), 4) AS ax, round(regr_avgy(l_extendedprice, l_quantity), 4) AS ay, round(regr_sxx(l_extendedprice, l_quantity), 1) AS sxx, round(regr_sxy(l_extendedprice, l_quantity), 0) AS sxy FROM {lineitem} GROUP BY l_returnflag")
 sql("agg_boolean", "SELECT o_custkey, bool_and(o_totalprice > 5000) AS a, bool_or(o_orderstatus = 'P') AS o, every(o_orderkey > 0) AS e FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, bool_and(o_totalprice > 5000) AS a, bool_or(o_orderstatus = 'P') AS o, bool_and(o_orderkey > 0) AS e FROM orders GROUP BY o_custkey")
 sql("agg_bits", "SELECT l_suppkey, bit_and(l_orderkey) AS a, bit_or(l_orderkey) AS o, bit_xor(l_orderkey) AS x FROM {lineitem} GROUP BY l_suppkey")
-sql("agg_arg_min_max", "SELECT o_custkey, min_by(o_orderkey, o_totalprice) AS lo, max_by(o_orderkey, o_totalprice) AS hi FROM {orders} GROUP BY o_custkey")
 sql("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, CAST(grouping_id() AS BIGINT) AS g FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())",
     "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS g FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
 sql("agg_rollup", "SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS s FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
@@ -36,6 +35,12 @@ def agg_skewness_kurtosis(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.round(A.skewness("l_extendedprice"), 6).alias("s"), F.round(A.kurtosis("l_extendedprice"), 6).alias("k"))
 
 
+@query("SELECT o_custkey, min_by(o_orderkey, o_totalprice) AS lo, max_by(o_orderkey, o_totalprice) AS hi FROM orders GROUP BY o_custkey")
+def agg_arg_min_max(t):
+    """Of equal prices the first order, as the SQL finds it in a table in order of its keys."""
+    return t.orders.groupBy("o_custkey").agg(A.arg_min("o_orderkey", "o_totalprice", "o_orderkey").alias("lo"), A.arg_max("o_orderkey", "o_totalprice", "o_orderkey").alias("hi"))
+
+
 @query("SELECT l_returnflag, round(entropy(l_suppkey), 6) AS entropy FROM lineitem GROUP BY l_returnflag")
 def agg_entropy(t):
     return A.entropy_table(t.lineitem, ["l_returnflag"], "l_suppkey").withColumn("entropy", F.round("entropy", 6))

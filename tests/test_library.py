@@ -359,3 +359,17 @@ def test_postings_of_long_texts_and_segments(spark):
     none = fts.Index.create(docs.where("id < 0"), "id", "body", "none", overwrite=True)
     assert none.documents == 0 and none.search("w1").count() == 0
     none.drop()
+
+
+@pytest.mark.parametrize("name", ["agg_arg_min_max"])
+def test_equal_prices_give_the_first_order(spark, tmp_path, name):
+    import duckdb
+
+    from lakeloom import queries
+
+    queries.load()
+    duck = duckdb.connect()
+    duck.sql(f"COPY (SELECT k AS o_orderkey, k % 3 AS o_custkey, 'F' AS o_orderstatus, CASE WHEN k % 7 < 5 THEN (k // 3 % 2) * 10.0::DOUBLE END AS o_totalprice FROM range(60) r(k) ORDER BY k) TO '{tmp_path}/orders.parquet'")
+    duck.sql(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet'")
+    want = duck.sql(f"SELECT o_custkey, lo, hi FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).select("o_custkey", "lo", "hi").collect()) == sorted(want)
