@@ -82,7 +82,7 @@ def agg_names(t):
     by_status = t.orders.select("o_custkey", "o_orderstatus").distinct().groupBy("o_custkey").agg(f("group_concat")("o_orderstatus").alias("g"))
     price = "o_totalprice"
     made = t.orders.groupBy("o_custkey").agg(
-        F.round(f("quantile_cont")(price, 0.25), 4).alias("q"), F.transform(f("quantile")(price, [0.25, 0.75]), lambda x: F.round(x, 4)).alias("qs"), f("percentile_disc")(0.5, price).alias("d"), f("arg_min")("o_orderkey", price).alias("lo"), f("max_by")("o_orderkey", price).alias("hi"),
+        F.round(f("quantile_cont")(price, 0.25), 4).alias("q"), F.transform(f("quantile")(price, [0.25, 0.75]), lambda x: F.round(x, 4)).alias("qs"), f("percentile_disc")(0.5, price).alias("d"), f("arg_min")("o_orderkey", price, "o_orderkey").alias("lo"), f("max_by")("o_orderkey", price, "o_orderkey").alias("hi"),
         f("list")("o_orderkey").alias("l"), F.round(f("sum_if")(price, c("o_orderstatus") == "F"), 2).alias("s"),
     )
     return made.join(by_status, "o_custkey")

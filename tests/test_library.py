@@ -361,7 +361,7 @@ def test_postings_of_long_texts_and_segments(spark):
     none.drop()
 
 
-@pytest.mark.parametrize("name", ["agg_arg_min_max"])
+@pytest.mark.parametrize("name", ["agg_arg_min_max", "agg_names"])
 def test_equal_prices_give_the_first_order(spark, tmp_path, name):
     import duckdb
 
